@@ -6,8 +6,8 @@ lies below the threshold is taken by a filter: nothing is sorted. Thresholds are
 never changes: a larger budget takes all that a smaller one takes.
 
 A source whose target exceeds its size is repeated whole, and the threshold settles the rest. The boundary documents
-(equal hashes share one fate) either give just the words still missing (``split_edge``), so that a source meets its
-target within a word, or are taken whole if that brings the source nearer to its target.
+(equal hashes share one fate) give just the words still missing, so that a source meets its target within a word; where
+whole documents are wanted, they are taken if that brings the source nearer to its target.
 
 Nulls and edge cases: a null text has size 0; a null source is a source of its own, last in order; rows with the same
 id share one hash and one fate; an empty table gives an empty result; documents of size 0 take 0 words.
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WS, WS_CHARS, materialize
+from .common import WS, WS_CHARS, materialize, maybe_broadcast
 
 #: Bits of the hash settled by each histogram; 5 rounds settle all 60 bits.
 ROUND_BITS, ROUNDS = 12, 5
@@ -101,8 +101,8 @@ def hash_thresholds(sizes: DataFrame, budgets: DataFrame) -> DataFrame:
     return state
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeat: int = 3, split_edge: bool = True) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies (whole copies in the mix), taken (words in the mix)."""
+def plan_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeat: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(sizes: doc_id, source, size, h of every document) and (plan: a row for each source)."""
     sizes = materialize(
         docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), mix_hash(F.col("doc_id")).alias("h")), "mix-sizes"
     )
@@ -111,16 +111,36 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeat: int =
     per = materialize(per.withColumn("budget", F.col("target") - F.col("passes") * F.col("source_size")), "mix-targets")
     state = hash_thresholds(sizes.where("size > 0"), per.select("source", "budget"))
     plan = per.alias("p").join(state.alias("b"), F.col("p.source").eqNullSafe(F.col("b.source")), "left").select(
-        F.col("p.source").alias("plan_source"), "source_size", "target", "passes", "all_in", "base", "left", "edge"
+        F.col("p.source").alias("plan_source"), "source_size", "target", "passes", "budget", "all_in", "base", "left", "edge"
     )
-    out = sizes.join(plan, sizes["source"].eqNullSafe(plan["plan_source"]))
-    room = F.col("passes") < max_repeat
-    below = room & (F.col("h") < F.col("base")) | room & F.col("all_in") & (F.col("budget_left"))
-    at_edge = room & ~F.col("all_in") & (F.col("h") == F.col("base"))
-    nearer = F.col("edge") - F.col("left") < F.col("left")
-    out = out.withColumn("budget_left", F.col("target") > F.col("passes") * F.col("source_size"))
-    copies = F.col("passes") + F.when(below | (at_edge & nearer & F.lit(not split_edge)), 1).otherwise(0)
-    part = F.floor(F.col("left") * F.col("size") / F.col("edge")) if split_edge else F.lit(0)
-    out = out.withColumn("copies", copies.cast("long"))
-    taken = F.col("copies") * F.col("size") + F.when(at_edge, part).otherwise(0)
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", taken.cast("long").alias("taken"))
+    return sizes, materialize(plan.withColumn("room", (F.col("passes") < max_repeat) & (F.col("budget") > 0)), "mix-plan")
+
+
+def _below() -> Column:
+    return F.col("room") & (F.col("all_in") | (F.col("h") < F.col("base")))
+
+
+def _at_edge() -> Column:
+    return F.col("room") & ~F.col("all_in") & (F.col("h") == F.col("base"))
+
+
+def _nearer() -> Column:
+    return F.col("edge") - F.col("left") < F.col("left")
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeat: int = 3) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken (words in the mix; boundary documents give what is missing)."""
+    sizes, plan = plan_mix(docs, weights, max_repeat)
+    out = sizes.join(maybe_broadcast(plan, plan.count(), 128), sizes["source"].eqNullSafe(plan["plan_source"]))
+    copies = F.col("passes") + F.when(_below(), 1).otherwise(0)
+    part = F.when(_at_edge(), F.floor(F.col("left") * F.col("size") / F.col("edge"))).otherwise(0)
+    return out.select("doc_id", "source", "size", "source_size", "target", (copies * F.col("size") + part).cast("long").alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeat: int = 3) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it whole; boundary documents where that is nearer to the target."""
+    _, plan = plan_mix(docs, weights, max_repeat)
+    rows = docs.withColumn("h", mix_hash(F.col("doc_id")))
+    out = rows.join(maybe_broadcast(plan, plan.count(), 128), rows["source"].eqNullSafe(plan["plan_source"]))
+    copies = F.coalesce(F.col("passes") + F.when(_below() | (_at_edge() & _nearer()), 1).otherwise(0), F.lit(0))
+    return out.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), copies.cast("int")))).select(*[rows[c] for c in docs.columns])
