@@ -26,6 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,8 +34,8 @@ from .common import drop_path, materialize, maybe_broadcast, shared_path
 
 GEAR = 32
 MIN_CHUNK, MAX_CHUNK, MASK = 64, 2048, 255
-#: Text bytes encoded at once in a Python worker, and words remembered there.
-SLICE_BYTES, CACHE_WORDS = 4 << 20, 400_000
+#: Text bytes that a Python worker handles at once, and words that it remembers at most (some 40 bytes each).
+SLICE_BYTES, CACHE_WORDS = 4 << 20, 4_000_000
 CRC_BITS = 44  # shifts of up to 2**44 bytes
 
 STAGED = "row long, doc_id long, n_tokens long, chunks array<binary>, lens array<int>, root binary, chunk binary, n int, data binary"
@@ -58,6 +59,49 @@ class Codec:
 _ENCODERS: dict[Codec, Encoder] = {}
 
 
+class WordCache:
+    """Ids of words seen, in flat arrays: a sorted main part and a recent part that is merged into it now and then.
+
+    Words are known by 128 bits of hash. A full cache is emptied; that costs time, not correctness.
+    """
+
+    RECENT = 150_000
+
+    def __init__(self, first: np.ndarray):
+        self.first = first  # stays at the start of ``flat``
+        self.clear()
+
+    def clear(self) -> None:
+        none = np.empty(0, np.uint64)
+        self.parts = [(none, none, np.empty(0, np.int64), np.empty(0, np.int64)) for _ in range(2)]
+        self.flat = self.first
+
+    def find(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start in ``flat`` (-1: unknown) and length of each word."""
+        start, length = np.full(len(lo), -1, dtype=np.int64), np.zeros(len(lo), dtype=np.int64)
+        for keys, high, at, n in self.parts:
+            if len(keys):
+                i = np.minimum(np.searchsorted(keys, lo), len(keys) - 1)
+                ok = (keys[i] == lo) & (high[i] == hi)
+                start[ok], length[ok] = at[i[ok]], n[i[ok]]
+        return start, length
+
+    def add(self, lo: np.ndarray, hi: np.ndarray, flat: np.ndarray, n: np.ndarray) -> None:
+        at = len(self.flat) + np.cumsum(n) - n
+        self.flat = np.concatenate([self.flat, flat])
+        new = tuple(np.concatenate(x) for x in zip(self.parts[1], (lo, hi, at, n)))
+        order = np.argsort(new[0], kind="stable")
+        self.parts[1] = tuple(x[order] for x in new)
+        if len(order) > self.RECENT:
+            whole = tuple(np.concatenate(x) for x in zip(*self.parts))
+            order = np.argsort(whole[0], kind="stable")
+            none = np.empty(0, np.uint64)
+            self.parts = [tuple(x[order] for x in whole), (none, none, np.empty(0, np.int64), np.empty(0, np.int64))]
+
+    def __len__(self) -> int:
+        return len(self.parts[0][0]) + len(self.parts[1][0])
+
+
 class Encoder:
     """Encodes slices of texts. Where no token can span white space, each distinct word is encoded once and remembered."""
 
@@ -66,9 +110,12 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(codec.path())
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.end_id = codec.end_id
         self.by_word = self._words_are_apart(json.loads(self.tokenizer.to_str()))
-        self.cache: dict[str, np.ndarray] = {}
+        self.end = np.array([codec.end_id], dtype=self.dtype)
+        self.cache = WordCache(self.end)
+        self.closes = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.closes[i] = token.endswith("</w>")
 
     @staticmethod
     def _words_are_apart(spec: dict) -> bool:
@@ -82,8 +129,47 @@ class Encoder:
         plain = all(not any(c.isspace() for c in t["content"]) for t in spec.get("added_tokens", []))
         return bool(split and known and plain)
 
+    def _words(self, table: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Where the cache holds each word's ids; words not seen yet are encoded."""
+        keys = np.frombuffer(b"".join([xxhash.xxh3_128_digest(w) for w in table]), dtype=np.uint64).reshape(-1, 2)
+        lo, hi = np.ascontiguousarray(keys[:, 0]), np.ascontiguousarray(keys[:, 1])
+        if len(self.cache) + len(table) > CACHE_WORDS:
+            self.cache.clear()
+        starts, lens = self.cache.find(lo, hi)
+        new = np.flatnonzero(starts < 0)
+        if len(new):
+            order, flat, n = self._encode_words([table[i] for i in new.tolist()])
+            self.cache.add(lo[new[order]], hi[new[order]], flat, n)
+            starts[new], lens[new] = self.cache.find(lo[new], hi[new])
+        return starts, lens
+
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Order in which the words were encoded, their ids end to end, and the number of ids of each.
+
+        Plain words are encoded a thousand at a time: each has as many closing tokens as pieces.
+        """
+        pieces = np.fromiter(map(_plain_pieces, words), dtype=np.int64, count=len(words))
+        plain = np.flatnonzero(pieces)
+        groups = [plain[i : i + 1000] for i in range(0, len(plain), 1000)]
+        coded = self.tokenizer.encode_batch_fast([" ".join([words[i] for i in g.tolist()]) for g in groups], add_special_tokens=False)
+        order, flat, lens, rest = [], [], [], [np.flatnonzero(pieces == 0)]
+        for g, e in zip(groups, coded):
+            ids = np.array(e.ids, dtype=self.dtype)
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            last = np.cumsum(pieces[g]) - 1
+            if len(ends) == last[-1] + 1:
+                order.append(g)
+                flat.append(ids)
+                lens.append(np.diff(ends[last], prepend=0))
+            else:
+                rest.append(g)
+        left = np.concatenate(rest)
+        found = self._ids([words[i] for i in left.tolist()])
+        lens.append(np.fromiter(map(len, found), dtype=np.int64, count=len(found)))
+        return np.concatenate([*order, left]), np.concatenate([self.end[:0], *flat, *found]), np.concatenate(lens)
+
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, dtype=self.dtype) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, dtype=self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the slice with end ids, and the offsets of its documents (one more than documents)."""
@@ -91,32 +177,33 @@ class Encoder:
             words = pc.ascii_split_whitespace(texts)
             bounds = words.offsets.to_numpy()
             coded = words.flatten().dictionary_encode()
-            table = coded.dictionary.to_pylist()
-            missing = [w for w in table if w not in self.cache]
-            if len(self.cache) + len(missing) > CACHE_WORDS:
-                self.cache = {}
-                missing = table
-            self.cache.update(zip(missing, self._ids(missing)))
-            pieces = [self.cache[w] for w in table]
+            starts, lens = self._words(coded.dictionary.to_pylist())
+            flat = self.cache.flat
             index = coded.indices.to_numpy(zero_copy_only=False)
             bounds = bounds - bounds[0]
         else:
             pieces = self._ids(texts.to_pylist())
             index, bounds = np.arange(len(pieces)), np.arange(len(pieces) + 1)
-        lens = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
-        flat = np.concatenate(pieces) if pieces else np.empty(0, self.dtype)
-        starts = np.cumsum(lens) - lens
+            lens = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
+            flat = np.concatenate([self.end, *pieces])
+            starts = np.cumsum(lens) - lens + 1
+        # The end id is one more word, at the end of every document.
+        starts, lens = np.append(starts, 0), np.append(lens, 1)
+        index = np.insert(index.astype(np.int64), bounds[1:], len(lens) - 1)
         each = lens[index]
         ends = np.concatenate([[0], np.cumsum(each)])
-        total = int(ends[-1])
-        at = np.repeat(starts[index] - ends[:-1], each)
-        at += np.arange(total)
-        docs = len(texts)
-        doc_ends = ends[bounds]
-        out = np.full(total + docs, self.end_id, dtype=self.dtype)
-        where = np.arange(total) + np.repeat(np.arange(docs), np.diff(doc_ends))
-        out[where] = flat[at]
-        return out, doc_ends + np.arange(docs + 1)
+        at = np.repeat((starts[index] - ends[:-1]).astype(np.int32), each)
+        at += np.arange(int(ends[-1]), dtype=np.int32)
+        return flat.take(at), ends[bounds + np.arange(len(bounds))]
+
+
+def _plain_pieces(word: str) -> int:
+    """Pieces that the known pre-tokenizer makes of a word of letters with at most one mark behind; 0: can't tell."""
+    if "İ" in word:  # its lower case has a mark that is no letter
+        return 0
+    if word.isalpha():
+        return 1
+    return 2 if word[-1:] in {".", ",", ";", ":", "!", "?"} and word[:-1].isalpha() else 0
 
 
 def encoder(codec: Codec) -> Encoder:
