@@ -8,11 +8,12 @@ all sets share, at least one is common. The enumeration therefore keeps k + 1 si
 first; signatures made only of very frequent shingles come last. Which shingles count as frequent is a hint found from
 the counts of each task; it changes the work, never the result.
 
-Equal sets are one class. In the groups of classes that share a signature, small groups compare all pairs and large ones
-compare every class with one pivot; verified links give components; then large groups that still hold several
+Of equal sets one represents all. In the groups of sets that share a signature, small groups compare all pairs and large
+ones compare every set with one pivot; verified links give components; then large groups that still hold several
 components compare the pairs across them. Every candidate is verified on whole sets, so no link is lost.
 
-A shingle is 64 bits of hash; a class is 64 bits over its shingles and their number.
+A shingle is 64 bits of hash; equal sets are known by 64 bits over their shingles and number. Before whole sets meet, a
+sketch of one bit for each element bounds their intersection from above, which drops most false candidates exactly.
 
 Nulls and edge cases: a null text or one without words has an empty set and links with nothing; a text of fewer than
 five words is one shingle; rows with the same id are separate members of their classes; an empty table gives an empty
@@ -185,7 +186,7 @@ def _i64(x: np.ndarray) -> pa.Array:
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each document, and at the task's end rows (null doc_id) with its frequent shingles."""
+    """One row for each document, and at the task's end rows (null id, negative n) with its frequent shingles."""
     held: list[np.ndarray] = []
     for batch in batches:
         texts = _texts(batch)
@@ -193,7 +194,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sets, offs = shingle_sets(texts.slice(i, j - i))
             held.append(sets)
             d = set_digests(sets, offs)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), _i64(np.diff(offs)), _i64(d)], names=["doc_id", "n", "d"])
+            yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), _i64(np.diff(offs)), _i64(d)], names=["id", "n", "d"])
             if sum(map(len, held)) > 8_000_000:
                 top = _frequent(held)
                 yield _hint(top)
@@ -214,30 +215,16 @@ def _frequent(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 def _hint(top: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
     v, c = top
-    return pa.RecordBatch.from_arrays([pa.nulls(len(v), pa.int64()), _i64(-c - 1), _i64(v)], names=["doc_id", "n", "d"])
+    return pa.RecordBatch.from_arrays([pa.nulls(len(v), pa.int64()), _i64(-c - 1), _i64(v)], names=["id", "n", "d"])
 
 
 def _signed(frequent: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         for batch in batches:
-            texts = _texts(batch)
+            texts, ids = _texts(batch), batch.column("id").to_numpy()
             for i, j in slices(texts):
-                sets, offs = shingle_sets(texts.slice(i, j - i))
-                d = set_digests(sets, offs)
-                fresh = np.zeros(len(d), dtype=bool)
-                for x, v in enumerate(d.tolist()):
-                    if v and v not in seen:
-                        seen.add(v)
-                        fresh[x] = True
-                if len(seen) > 4_000_000:
-                    seen.clear()
-                n = np.diff(offs)
-                keep = np.flatnonzero(fresh)
-                mask = np.repeat(fresh, n)
-                sub = np.concatenate([[0], np.cumsum(n[keep])])
-                sig, of = signatures(sets[mask], sub, frequent)
-                yield pa.RecordBatch.from_arrays([_i64(sig), _i64(d[keep][of]), pa.array(n[keep][of].astype(np.int32))], names=["sig", "d", "n"])
+                sig, of = signatures(*shingle_sets(texts.slice(i, j - i)), frequent)
+                yield pa.RecordBatch.from_arrays([_i64(sig >> np.uint64(16)), _i64(ids[i:j][of])], names=["sig", "id"])
 
     return run
 
@@ -248,72 +235,126 @@ def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, j in slices(texts):
             sets, offs = shingle_sets(texts.slice(i, j - i))
             lists = pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), _i64(sets))
-            yield pa.RecordBatch.from_arrays([_i64(set_digests(sets, offs)), lists], names=["d", "s"])
+            yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), lists], names=["id", "s"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes whose whole sets have 100 * intersection >= 75 * union."""
-    left, right = sets.select(F.col("d").alias("a"), F.col("s").alias("sa")), sets.select(F.col("d").alias("b"), F.col("s").alias("sb"))
+    """The pairs (a, b) whose whole sets have 100 * intersection >= 75 * union."""
+    left, right = sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
     both = pairs.join(right, "b").join(left, "a")
     inter = F.size(F.array_intersect("sa", "sb"))
     return both.where(100 * inter >= 75 * (F.size("sa") + F.size("sb") - inter)).select("a", "b")
 
 
-def _sets_of(docs: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """d, s for the wanted classes, from the text of one document of each."""
-    rep = rows.join(wanted, "d", "left_semi").groupBy("d").agg(F.min("doc_id").alias("doc_id"))
-    rep = materialize(rep, "ngram-rep")
-    ids = rep.select("doc_id").distinct()
-    picked = docs.join(maybe_broadcast(ids, rep.count(), 16), "doc_id", "left_semi").select("text")
-    got = picked.mapInArrow(_whole_sets, "d long, s array<long>").join(rep.select("d"), "d", "left_semi")
-    return materialize(got.dropDuplicates(["d"]), "ngram-sets")
+#: Sketch of a set: bit i is set if an element hashes to i; widths are powers of two of about 4 bits an element.
+SKETCH_BITS = 4
 
 
-def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows: doc_id, n, d) and (links: a, b between classes d of different sets, enough of them for the components)."""
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    profile = materialize(docs.mapInArrow(_profile, "doc_id long, n long, d long"), "ngram-profile")
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = _texts(batch)
+        for i, j in slices(texts):
+            sets, offs = shingle_sets(texts.slice(i, j - i))
+            out = []
+            for a, b in zip(offs[:-1].tolist(), offs[1:].tolist()):
+                width = 1 << max(6, int(SKETCH_BITS * (b - a) - 1).bit_length())
+                bits = np.zeros(width, dtype=bool)
+                bits[(sets[a:b] & np.uint64(width - 1)).astype(np.int64)] = True
+                out.append(np.packbits(bits).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), _i64(np.diff(offs)), pa.array(out, pa.binary())], names=["id", "n", "k"])
+
+
+def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Drop pairs that can't reach the similarity: each bit of only one sketch is an element that the other set lacks."""
+    for t in batches:
+        keep = np.zeros(t.num_rows, dtype=bool)
+        rows = zip(t.column("na").to_pylist(), t.column("nb").to_pylist(), t.column("ka").to_pylist(), t.column("kb").to_pylist())
+        for r, (na, nb, ka, kb) in enumerate(rows):
+            x, y = np.frombuffer(ka, np.uint8), np.frombuffer(kb, np.uint8)
+            while len(x) > len(y):
+                x = x[: len(x) // 2] | x[len(x) // 2 :]
+            while len(y) > len(x):
+                y = y[: len(y) // 2] | y[len(y) // 2 :]
+            most = min(na - int(np.bitwise_count(x & ~y).sum()), nb - int(np.bitwise_count(y & ~x).sum()))
+            keep[r] = 100 * most >= 75 * (na + nb - most)
+        yield t.select(["a", "b"]).filter(pa.array(keep))
+
+
+def _texts_of(docs: DataFrame, ids: DataFrame, rows: int) -> DataFrame:
+    return docs.join(maybe_broadcast(ids, rows, 16), "id", "left_semi")
+
+
+def with_ids(docs: DataFrame) -> DataFrame:
+    """``docs`` with a unique ``id``: the doc_id where that is unique and never null, else a stored row number."""
+    docs = docs.drop("id")
+    odd = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1 or doc_id is null")
+    if odd.isEmpty():
+        return docs.withColumn("id", F.col("doc_id").cast("long"))
+    return materialize(docs.withColumn("id", F.monotonically_increasing_id()), "ngram-rows")
+
+
+def link_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """For ``docs`` (id, text): (rows: id, n, d, rep) and (links: a, b between representatives of different sets).
+
+    ``rep`` is the smallest id of the equal sets; the links are enough for the components.
+    """
+    docs = docs.select("id", "text")
+    profile = materialize(docs.mapInArrow(_profile, "id long, n long, d long"), "ngram-profile")
     hints = profile.where("n < 0").groupBy("d").agg(F.sum(-F.col("n") - 1).alias("c")).orderBy(F.desc("c"), "d").limit(HINT_ALL)
     frequent = np.sort(np.array([r[0] for r in hints.select("d").collect()], dtype=np.int64).view(np.uint64))  # at most HINT_ALL
     rows = profile.where("n >= 0")
-    signed = docs.mapInArrow(_signed(frequent), "sig long, d long, n int")
+    copies = materialize(rows.where("n > 0").groupBy("d").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("k")).where("k > 1"), "ngram-copies")
+    named = rows.join(maybe_broadcast(copies.select("d", "rep"), copies.count(), 24), "d", "left")
+    rows = materialize(named.select("id", "n", "d", F.coalesce("rep", "id").alias("rep")), "ngram-classes")
+    extra = rows.where("id <> rep").select("id")
+    reps = docs.join(maybe_broadcast(extra, extra.count(), 16), "id", "left_anti")
     by = Window.partitionBy("sig")
-    shared = signed.select("sig", "d", "n", F.min("d").over(by).alias("lo"), F.max("d").over(by).alias("hi"), F.count(F.lit(1)).over(by).alias("k")).where("lo <> hi")
-    shared = materialize(shared.distinct(), "ngram-shared")
-    fits = "4 * least(x.n, y.n) >= 3 * greatest(x.n, y.n)"
+    signed = reps.mapInArrow(_signed(frequent), "sig long, id long")
+    shared = signed.select("sig", "id", F.min("id").over(by).alias("lo"), F.count(F.lit(1)).over(by).alias("k")).where("k > 1")
+    shared = materialize(shared, "ngram-shared")
     small, large = shared.where(F.col("k") <= SMALL_GROUP), shared.where(F.col("k") > SMALL_GROUP)
-    pairs = small.alias("x").join(small.alias("y"), "sig").where("x.d < y.d").where(fits).select(F.col("x.d").alias("a"), F.col("y.d").alias("b"))
-    star = large.where("d <> lo").select(F.col("lo").alias("a"), F.col("d").alias("b"))
+    pairs = small.alias("x").join(small.alias("y"), "sig").where("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    star = large.where("id <> lo").select(F.col("lo").alias("a"), F.col("id").alias("b"))
     pairs = materialize(pairs.union(star).distinct(), "ngram-pairs")
-    wanted = pairs.select(F.col("a").alias("d")).union(pairs.select("b")).union(large.select("d")).distinct()
-    sets = _sets_of(docs, rows, wanted)
-    links = materialize(_verified(pairs, sets), "ngram-links")
+    open_ids = large.select("id").distinct()
+    wanted = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(open_ids).distinct(), "ngram-wanted")
+    texts = _texts_of(docs, wanted, wanted.count())
+    sketches = materialize(texts.mapInArrow(_sketches, "id long, n long, k binary"), "ngram-sketches")
+    names = lambda x: sketches.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("k").alias(f"k{x}"))
+    sized = sketches.select("id", "n")
+    fits = pairs.join(sized.toDF("a", "na"), "a").join(sized.toDF("b", "nb"), "b").where("4 * least(na, nb) >= 3 * greatest(na, nb)").select("a", "b")
+    likely = fits.join(names("b"), "b").join(names("a"), "a").select("a", "b", "na", "nb", "ka", "kb").mapInArrow(_possible, "a long, b long")
+    likely = materialize(likely, "ngram-likely")
+    wanted = materialize(likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct(), "ngram-likely-ids")
+    sets = materialize(_texts_of(docs, wanted, wanted.count()).mapInArrow(_whole_sets, "id long, s array<long>"), "ngram-sets")
+    links = materialize(_verified(likely, sets), "ngram-links")
     comp = components(links, "ngram-comp1")
     # Large groups that still hold several components: the pairs across them.
-    named = large.select("sig", "d", "n").join(comp.select(F.col("id").alias("d"), "comp"), "d", "left").withColumn("comp", F.coalesce("comp", "d"))
-    mixed = named.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("d").alias("lo")).where("c0 <> c1").select("sig", "lo")
-    open_ = materialize(named.join(mixed, "sig"), "ngram-open")
-    return rows, materialize(links.union(_across(open_, sets)), "ngram-all-links")
+    open_ = large.select("sig", "id").join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    mixed = open_.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("id").alias("lo")).where("c0 <> c1").select("sig", "lo")
+    open_ = materialize(open_.join(mixed, "sig").join(sized, "id"), "ngram-open")
+    return rows, materialize(links.union(_across(open_, docs)), "ngram-all-links")
 
 
-def _across(open_: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links between components that share a signature (sig, d, n, comp, lo).
+def _across(open_: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links between components that share a signature (sig, id, n, comp, lo).
 
-    Classes tied by shared signatures form a family. A family's classes are dealt into blocks of bounded size, each pair
-    of blocks is one group, and intersections are counted there by matrix products: no pair is emitted but the links.
+    Sets tied by shared signatures form a family. A family's sets are dealt into blocks of bounded size, each pair of
+    blocks is one group, and intersections are counted there by matrix products: no pair is emitted but the links.
     """
-    family = components(open_.select(F.col("lo").alias("a"), F.col("d").alias("b")).where("a <> b").distinct(), "ngram-family")
-    members = open_.select("d", "n", "comp").distinct().join(family.select(F.col("id").alias("d"), F.col("comp").alias("f")), "d")
+    family = components(open_.select(F.col("lo").alias("a"), F.col("id").alias("b")).where("a <> b").distinct(), "ngram-family")
+    members = open_.select("id", "n", "comp").distinct().join(family.select("id", F.col("comp").alias("f")), "id")
     members = materialize(members, "ngram-members")
     sizes = members.groupBy("f").agg(F.ceil(F.sum("n") / BLOCK_ELEMENTS).cast("int").alias("blocks"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
-    dealt = members.join(sizes.select("f", "blocks"), "f").withColumn("i", F.pmod(F.xxhash64("d"), F.col("blocks")).cast("int"))
+    dealt = members.join(sizes.select("f", "blocks"), "f").withColumn("i", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("d", "comp", "f", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).join(sets, "d")
+    sets = _texts_of(docs, members.select("id"), members.count()).mapInArrow(_whole_sets, "id long, s array<long>")
+    dealt = dealt.select("id", "comp", "f", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).join(sets, "id")
     return dealt.groupBy("f", "i", "j").applyInArrow(_block_links, "a long, b long")
 
 
 def _block_links(table: pa.Table) -> pa.Table:
-    d, comp = table.column("d").to_numpy(), table.column("comp").to_numpy()
+    d, comp = table.column("id").to_numpy(), table.column("comp").to_numpy()
     lists = table.column("s").combine_chunks()
     n = pc.list_value_length(lists).to_numpy().astype(np.int64)
     values, el = np.unique(lists.flatten().to_numpy(), return_inverse=True)
@@ -340,19 +381,25 @@ def _block_links(table: pa.Table) -> pa.Table:
 
 def ngram_join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
-    rows, links = link_classes(docs)
-    comp = components(links, "ngram-comp2").select(F.col("id").alias("d"), "comp")
-    classes = rows.where("n > 0").groupBy("d").agg(F.min("doc_id").alias("m"))
-    classes = classes.join(comp, "d", "left").withColumn("comp", F.coalesce("comp", "d"))
-    classes = materialize(classes, "ngram-classes")
-    smallest = materialize(classes.groupBy("comp").agg(F.min("m").alias("component_id")), "ngram-smallest")
-    of_class = materialize(classes.join(smallest, "comp").select("d", "component_id"), "ngram-of-class")
-    out = rows.join(of_class, "d", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    own = with_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    return _joined(own).select("doc_id", "n_shingles", "component_id")
+
+
+def _joined(docs: DataFrame) -> DataFrame:
+    """id, doc_id, n_shingles, component_id, first (whether the row stands for its component)."""
+    rows, links = link_sets(docs)
+    rows = rows.join(docs.select("id", "doc_id"), "id")
+    comp = components(links, "ngram-comp2").select(F.col("id").alias("rep"), "comp")
+    comp = materialize(comp, "ngram-of-rep")
+    rows = materialize(rows.join(maybe_broadcast(comp, comp.count(), 24), "rep", "left").withColumn("comp", F.coalesce("comp", "rep")), "ngram-grouped")
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "id")).alias("m")
+    first = materialize(rows.groupBy("comp").agg(least).select("comp", F.col("m.doc_id").alias("component_id"), F.col("m.id").alias("first_id")), "ngram-first")
+    out = rows.join(first, "comp")
+    return out.select("id", "doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("id") == F.col("first_id")).alias("first"))
 
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component, that of the smallest doc_id; rows that share an id stay or go together."""
-    report = ngram_join(docs)
-    kept = materialize(report.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept")).distinct(), "ngram-kept")
-    return docs.join(maybe_broadcast(kept, kept.count(), 16), docs["doc_id"].eqNullSafe(kept["kept"]), "left_semi")
+    """``docs`` with one document of each component: the smallest doc_id (nulls last). Documents without words all stay."""
+    own = with_ids(docs)
+    kept = materialize(_joined(own.select("id", F.col("doc_id").cast("long").alias("doc_id"), "text")).where("first").select("id"), "ngram-kept")
+    return own.join(maybe_broadcast(kept, kept.count(), 16), "id", "left_semi").select(*docs.columns)
