@@ -151,10 +151,8 @@ class Encoder:
         pieces = np.fromiter(map(_plain_pieces, words), dtype=np.int64, count=len(words))
         plain = np.flatnonzero(pieces)
         groups = [plain[i : i + 1000] for i in range(0, len(plain), 1000)]
-        coded = self.tokenizer.encode_batch_fast([" ".join([words[i] for i in g.tolist()]) for g in groups], add_special_tokens=False)
         order, flat, lens, rest = [], [], [], [np.flatnonzero(pieces == 0)]
-        for g, e in zip(groups, coded):
-            ids = np.array(e.ids, dtype=self.dtype)
+        for g, ids in self._encode_groups(words, groups):
             ends = np.flatnonzero(self.closes[ids]) + 1
             last = np.cumsum(pieces[g]) - 1
             if len(ends) == last[-1] + 1:
@@ -168,6 +166,13 @@ class Encoder:
         lens.append(np.fromiter(map(len, found), dtype=np.int64, count=len(found)))
         return np.concatenate([*order, left]), np.concatenate([self.end[:0], *flat, *found]), np.concatenate(lens)
 
+    def _encode_groups(self, words: list[str], groups: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for at in range(0, len(groups), 16):  # the library's results are many times the ids' size
+            some = groups[at : at + 16]
+            coded = self.tokenizer.encode_batch_fast([" ".join([words[i] for i in g.tolist()]) for g in some], add_special_tokens=False)
+            for g, e in zip(some, coded):
+                yield g, np.array(e.ids, dtype=self.dtype)
+
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -290,6 +295,7 @@ def stage(docs: DataFrame, codec: Codec) -> DataFrame:
         seen: set[bytes] = set()
         for batch in batches:
             texts = pc.fill_null(batch.column("text"), "")
+            pa.default_memory_pool().release_unused()
             for i, j in slices(texts):
                 part = texts.slice(i, j - i)
                 ids, offsets = enc.encode(part)
