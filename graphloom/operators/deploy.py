@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.ids import canonical_id, scaffold_id
 
-EMPTY = F.lit("")
-
 
 def deployment_facts(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes: id, kind, name) and (edges DEPLOYED_TO: commit to environment, with status, deployed_at, release)."""
