@@ -28,6 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import release_memory
 from .editdist import best_infix
 from .ngram_join import mix
 from .tokenstore import slices
@@ -195,6 +196,7 @@ def _matcher(ids: list[int], texts: list[str]):
         items = [words[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
         probes = build_probes(items)
         for batch in batches:
+            release_memory()
             docs = pc.fill_null(batch.column("text"), "")
             keys = batch.column("doc_id")
             for i, j in slices(docs):
@@ -238,6 +240,7 @@ def _sieve(texts: list[str]):
         items = [words[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
         probes = build_probes(items)
         for batch in batches:
+            release_memory()
             docs = pc.fill_null(batch.column("text"), "")
             keep = np.ones(batch.num_rows, dtype=bool)
             for i, j in slices(docs):

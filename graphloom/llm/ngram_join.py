@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, maybe_broadcast
+from .common import materialize, maybe_broadcast, release_memory
 from .components import components
 from .tokenstore import slices
 
@@ -40,6 +40,8 @@ SHINGLE = 5
 SMALL_GROUP = 8
 #: Frequency hint: shingles seen so often in one task, at most so many from a task and in all.
 HINT_LOCAL, HINT_TASK, HINT_ALL = 4, 8192, 1 << 17
+#: Text bytes handled at once: signatures take some hundred bytes for each word.
+NGRAM_SLICE = 2 << 20
 #: Elements of a block of classes, and distinct elements that a matrix product takes at once.
 BLOCK_ELEMENTS, BLOCK_COLUMNS = 100_000, 2048
 #: Tags up to this size use one partition for each shingle; up to the next, two partitions for each.
@@ -178,6 +180,7 @@ def signatures(sets: np.ndarray, offs: np.ndarray, frequent: np.ndarray | None)
 
 
 def _texts(batch: pa.RecordBatch) -> pa.Array:
+    release_memory()
     return pc.fill_null(batch.column("text"), "")
 
 
@@ -190,12 +193,12 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[np.ndarray] = []
     for batch in batches:
         texts = _texts(batch)
-        for i, j in slices(texts):
+        for i, j in slices(texts, NGRAM_SLICE):
             sets, offs = shingle_sets(texts.slice(i, j - i))
             held.append(sets)
             d = set_digests(sets, offs)
             yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), _i64(np.diff(offs)), _i64(d)], names=["id", "n", "d"])
-            if sum(map(len, held)) > 8_000_000:
+            if sum(map(len, held)) > 2_000_000:
                 top = _frequent(held)
                 yield _hint(top)
                 held = []
@@ -222,7 +225,7 @@ def _signed(frequent: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, ids = _texts(batch), batch.column("id").to_numpy()
-            for i, j in slices(texts):
+            for i, j in slices(texts, NGRAM_SLICE):
                 sig, of = signatures(*shingle_sets(texts.slice(i, j - i)), frequent)
                 yield pa.RecordBatch.from_arrays([_i64(sig >> np.uint64(16)), _i64(ids[i:j][of])], names=["sig", "id"])
 
@@ -232,7 +235,7 @@ def _signed(frequent: np.ndarray):
 def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = _texts(batch)
-        for i, j in slices(texts):
+        for i, j in slices(texts, NGRAM_SLICE):
             sets, offs = shingle_sets(texts.slice(i, j - i))
             lists = pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), _i64(sets))
             yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), lists], names=["id", "s"])
@@ -253,7 +256,7 @@ SKETCH_BITS = 4
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = _texts(batch)
-        for i, j in slices(texts):
+        for i, j in slices(texts, NGRAM_SLICE):
             sets, offs = shingle_sets(texts.slice(i, j - i))
             out = []
             for a, b in zip(offs[:-1].tolist(), offs[1:].tolist()):
@@ -400,6 +403,8 @@ def _joined(docs: DataFrame) -> DataFrame:
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each component: the smallest doc_id (nulls last). Documents without words all stay."""
-    own = with_ids(docs)
+    taken = "id" in docs.columns
+    own = with_ids(docs.withColumnRenamed("id", "__own_id") if taken else docs)
     kept = materialize(_joined(own.select("id", F.col("doc_id").cast("long").alias("doc_id"), "text")).where("first").select("id"), "ngram-kept")
-    return own.join(maybe_broadcast(kept, kept.count(), 16), "id", "left_semi").select(*docs.columns)
+    out = own.join(maybe_broadcast(kept, kept.count(), 16), "id", "left_semi").drop("id")
+    return (out.withColumnRenamed("__own_id", "id") if taken else out).select(*docs.columns)

@@ -30,12 +30,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_path, materialize, maybe_broadcast, shared_path
+from .common import drop_path, materialize, maybe_broadcast, release_memory, shared_path
 
 GEAR = 32
 MIN_CHUNK, MAX_CHUNK, MASK = 64, 2048, 255
 #: Text bytes that a Python worker handles at once, and words that it remembers at most (some 40 bytes each).
-SLICE_BYTES, CACHE_WORDS = 4 << 20, 4_000_000
+SLICE_BYTES, CACHE_WORDS = 4 << 20, 1_500_000
 CRC_BITS = 44  # shifts of up to 2**44 bytes
 
 STAGED = "row long, doc_id long, n_tokens long, chunks array<binary>, lens array<int>, root binary, chunk binary, n int, data binary"
@@ -276,12 +276,12 @@ def merkle_root(names: list[bytes]) -> bytes:
     return chunk_name(b"root" + level[0])
 
 
-def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """Row ranges of at most SLICE_BYTES of text, or of one row."""
+def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Row ranges of at most ``most`` bytes of text, or of one row."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
     i = 0
     while i < len(ends):
-        j = int(np.searchsorted(ends, (ends[i - 1] if i else 0) + SLICE_BYTES, side="right"))
+        j = int(np.searchsorted(ends, (ends[i - 1] if i else 0) + most, side="right"))
         j = max(j, i + 1)
         yield i, j
         i = j
@@ -295,7 +295,7 @@ def stage(docs: DataFrame, codec: Codec) -> DataFrame:
         seen: set[bytes] = set()
         for batch in batches:
             texts = pc.fill_null(batch.column("text"), "")
-            pa.default_memory_pool().release_unused()
+            release_memory()
             for i, j in slices(texts):
                 part = texts.slice(i, j - i)
                 ids, offsets = enc.encode(part)
