@@ -48,8 +48,8 @@ def traverse(edges: DataFrame, start: str, depth: int, kinds=None, inbound=False
     starts = edges.sparkSession.createDataFrame([(start,)], "id string")
     met, reached = bfs(edges, starts, depth, kinds, inbound, both, members)
     rank = {k: i for i, k in enumerate(kinds or ())}
-    order = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in rank.items() for x in kv]), F.col("kind")), F.lit(99)) if rank else F.lit(0)
-    first = met.orderBy("depth", order, "kind", "src", "dst").limit(budget + 1)
+    order = [F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in rank.items() for x in kv]), F.col("kind")), F.lit(99))] if rank else []
+    first = met.orderBy("depth", *order, "kind", "src", "dst").limit(budget + 1)
     n = first.count()
     cut = not reached.where(F.col("depth") == depth).isEmpty()
     return first.limit(budget).drop("root"), n > budget or cut
