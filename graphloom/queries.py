@@ -376,3 +376,72 @@ def s7_file_changes(spark, sf):
     c = snapshot.file_changes(old, new)
     both = F.when(F.col("status") == "R", F.array(F.lit("in"), F.lit("out"))).when(F.col("status") == "A", F.array(F.lit("in"))).when(F.col("status") == "D", F.array(F.lit("out"))).otherwise(F.array(F.lit("M")))
     return c.select(F.explode(both).alias("status")).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""RECURSIVE WITH r(id, depth) AS (SELECT id, 0 FROM parts WHERE p_partkey = 1
+  UNION SELECT e.src, r.depth + 1 FROM r JOIN dep e ON e.dst = r.id WHERE r.depth < 2)
+SELECT id, min(depth) AS depth FROM r WHERE id <> {ROOT} GROUP BY id""")
+def g15_change_impact(spark, sf):
+    return _api(spark, sf, max_results=10_000_000).get_change_impact(_root_id(spark, sf), 2).rows
+
+
+@query("""SELECT v.branch, bool_or(h.commit_id IS NOT NULL) AS indexed, count(*) FILTER (WHERE contains(lower(n.name), 'ring')) > 0 AS found, count(*) FILTER (WHERE contains(lower(n.name), 'ring')) AS matches
+FROM (VALUES ('F'), ('O'), ('P'), ('none')) v(branch) LEFT JOIN heads h ON h.branch = v.branch AND h.repo = 'NATION_7' LEFT JOIN holds e ON e.src = h.commit_id LEFT JOIN nodes n ON n.id = e.dst GROUP BY v.branch""")
+def g17_implementation_status(spark, sf):
+    return _api(spark, sf).get_implementation_status("NATION_7", "Ring", ["F", "O", "P", "none"]).rows
+
+
+@query(f"""SELECT id, kind, name FROM nodes WHERE id <> {ROOT} AND id IN (SELECT dst FROM edges WHERE src = {ROOT} UNION SELECT src FROM edges WHERE dst = {ROOT})""")
+def g20_architecture_context(spark, sf):
+    return _api(spark, sf, max_results=10_000_000).get_architecture_context(_root_id(spark, sf), 1).rows.select("id", "kind", "name")
+
+
+@query("""WITH l AS (SELECT CAST(l_partkey AS STRING) AS src, CAST(l_suppkey AS STRING) AS dst, l_linestatus AS mechanism, CASE l_returnflag WHEN 'A' THEN 'low' WHEN 'N' THEN 'medium' ELSE 'high' END AS confidence, l_returnflag || l_linestatus AS pair FROM lineitem),
+b AS (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY CASE confidence WHEN 'low' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END DESC, mechanism DESC) AS i FROM l)
+SELECT b.src, b.dst, b.mechanism, b.confidence, p.pairs FROM b JOIN (SELECT src, dst, string_agg(DISTINCT pair, ',' ORDER BY pair) AS pairs FROM l GROUP BY src, dst) p ON b.src = p.src AND b.dst = p.dst WHERE b.i = 1""")
+def a4_merge_links(spark, sf):
+    rank = F.when(F.col("l_returnflag") == "A", "low").when(F.col("l_returnflag") == "N", "medium").otherwise("high")
+    l = bridge.tables(spark, sf)["lineitem"].select(  # noqa: E741
+        F.lit("CALLS_API").alias("kind"), F.col("l_partkey").cast("string").alias("src"), F.col("l_suppkey").cast("string").alias("dst"), F.col("l_linestatus").alias("mechanism"), rank.alias("confidence"), F.concat("l_returnflag", "l_linestatus").alias("pair"),
+    )
+    return links.merge_links(l).select("src", "dst", "mechanism", "confidence", F.array_join("branch_pairs", ",").alias("pairs"))
+
+
+@query("""SELECT c.branch, c.kind, count(*) AS n FROM (SELECT CASE WHEN n.id IN (SELECT dst FROM holds) THEN 'kept' ELSE 'gone' END AS branch, n.kind FROM nodes n WHERE n.kind = 'FUNCTION'
+UNION ALL SELECT 'edge', e.kind FROM edges e WHERE NOT (e.src IN (SELECT id FROM parts WHERE id NOT IN (SELECT dst FROM holds)) OR e.dst IN (SELECT id FROM parts WHERE id NOT IN (SELECT dst FROM holds)))) c GROUP BY c.branch, c.kind""")
+def k5_guarded_delete(spark, sf):
+    nodes, edges = bridge.graph(spark, sf)
+    doomed = nodes.where("kind = 'FUNCTION'")
+    left, at, kept = snapshot.guarded_delete(nodes, stored(edges), doomed)
+    gone = doomed.join(left.select("id"), "id", "left_anti")
+    one = lambda df, what: df.select(F.lit(what).alias("branch"), "kind")
+    return one(doomed.join(kept, "id", "left_semi"), "kept").union(one(gone, "gone")).union(one(at, "edge")).groupBy("branch", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+_SOURCE = """import lib_{k}
+class Part{k}:
+    def price{k}(self):
+        return lookup{k}(self)
+@app.get('/parts/{id}/p{k}')
+requests.post('https://svc.local/orders/{k}')"""
+
+
+def _files(spark, sf):
+    k = F.col("p_partkey").cast("string")
+    content = F.regexp_replace(F.lit(_SOURCE), F.lit(r"\{k\}"), k)
+    return bridge.tables(spark, sf)["part"].select(F.col("p_brand").alias("repo_id"), F.lit("main").alias("branch"), F.concat(F.lit("src/m"), k, F.lit(".py")).alias("path"), F.lit("python").alias("language"), content.alias("content"))
+
+
+@query("""SELECT p.p_brand AS repo_id, 'src/m' || p.p_partkey || '.py' AS path, f.fact, CAST(f.line AS INT) AS line, f.detail || replace(f.value, '{k}', CAST(p.p_partkey AS STRING)) AS value FROM part p,
+(VALUES ('import', 1, '', 'lib_{k}'), ('symbol', 2, 'CLASS ', 'Part{k}'), ('symbol', 3, 'METHOD ', 'price{k}'), ('call', 4, '', 'lookup{k}'), ('call', 5, '', 'get'), ('call', 6, '', 'post'),
+('provides', 5, 'GET ', '/parts/*/p{k}'), ('consumes', 6, 'POST ', '/orders/{k}')) f(fact, line, detail, value)""")
+def x1_extracted_facts(spark, sf):
+    """Symbols, imports, calls and routes of one small source file for each part."""
+    from graphloom.extract import rules
+
+    files = _files(spark, sf)
+    row = lambda df, fact, path, line, value: df.select("repo_id", F.col(path).alias("path"), F.lit(fact).alias("fact"), F.col(line).alias("line"), value.alias("value"))
+    route = F.concat_ws(" ", "http_method", "route")
+    out = row(rules.symbols(files), "symbol", "path", "start", F.concat_ws(" ", "kind", "name"))
+    out = out.union(row(rules.imports(files), "import", "path", "line", F.col("target"))).union(row(rules.calls(files), "call", "path", "line", F.col("callee")))
+    return out.union(row(rules.provides(files), "provides", "file", "line", route)).union(row(rules.consumes(files), "consumes", "file", "line", route))
