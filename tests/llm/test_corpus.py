@@ -293,3 +293,53 @@ def test_pipeline_stages(spark):
         assert out.columns == docs.columns
         docs = spark.createDataFrame(out.collect(), docs.schema)
     assert corpus_pipeline.run(spark, sf).count() == docs.count()
+
+
+def _kept_by_brute_force(rows):
+    """Removed lines by comparing all pairs of lines, normalised as the operator does it."""
+    from graphloom.llm.decontaminate import _EDGE
+    from graphloom.llm.line_dedup import _DIGITS, similar
+
+    lines = []
+    for d, t in rows:
+        for i, x in enumerate((t or "").split("\n")):
+            w = [y for y in (z.strip(_EDGE).translate(_DIGITS) for z in x.lower().split()) if y]
+            if w:
+                lines.append(((d, i), w))
+    up = list(range(len(lines)))
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for y in range(len(lines)):
+        for x in range(y):
+            if top(x) != top(y) and similar(lines[x][1], lines[y][1]):
+                up[max(top(x), top(y))] = min(top(x), top(y))
+    out = {d: [] for d, _ in rows}
+    for y, ((d, i), _) in enumerate(lines):
+        if top(y) != y:
+            out[d].append(i)
+    return out
+
+
+def _edited(r, w, edits):
+    for _ in range(edits):
+        kind, at = r.randrange(3), r.randrange(len(w))
+        w[at : at + (kind > 0)] = [f"new{chr(97 + r.randrange(26))}{chr(97 + r.randrange(26))}"] if kind < 2 else []
+    return w
+
+
+def test_edited_lines_are_exact(spark):
+    """Lines of eight words and more with up to 30% of words edited, against all pairs; common pairs of words make large groups."""
+    from graphloom.llm.line_dedup import line_report
+
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randrange(2, 7)))
+    base = [["of", "the"] * (i % 3) + [word() for _ in range(r.choice((8, 9, 12, 16, 23, 40, 80, 130)))] for i in range(100)]
+    lines = [" ".join(_edited(r, list(w), r.randrange(0, int(0.3 * len(w)) + 1))) for w in base for _ in range(4)]
+    r.shuffle(lines)
+    rows = [(i, "\n".join(lines[5 * i : 5 * i + 5])) for i in range(80)]
+    got = {x.doc_id: x.removed for x in line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == _kept_by_brute_force(rows) and sum(map(len, got.values())) > 200
