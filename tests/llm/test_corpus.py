@@ -343,3 +343,17 @@ def test_edited_lines_are_exact(spark):
     rows = [(i, "\n".join(lines[5 * i : 5 * i + 5])) for i in range(80)]
     got = {x.doc_id: x.removed for x in line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == _kept_by_brute_force(rows) and sum(map(len, got.values())) > 200
+
+
+def test_short_lines_take_part(spark):
+    """Lines of one to eight words, copied and edited, against all pairs."""
+    from graphloom.llm.line_dedup import line_report
+
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randrange(2, 7)))
+    base = [[word() for _ in range(n)] for n in (1, 1, 2, 2, *range(3, 9), *range(3, 9), *range(3, 9))]
+    lines = ["---", "", "One", "one!"] + [" ".join(_edited(r, list(w), e)) for w in base for e in (0, 0, 1, 1, 2) if e < len(w)]
+    r.shuffle(lines)
+    rows = [(i, "\n".join(lines[5 * i : 5 * i + 5])) for i in range(-(-len(lines) // 5))]
+    got = {x.doc_id: x.removed for x in line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == _kept_by_brute_force(rows)
