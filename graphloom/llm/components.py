@@ -1,7 +1,7 @@
-"""Connected components over links between long ids, by minimum labels with pointer jumping.
+"""Connected components over links between long ids, by contraction (see ``operators.contract``).
 
-Each round is one aggregation that is combined before its shuffle and two joins on stored tables; the labels are written
-to the shared folder, so a lost executor costs no more than a round. Nothing is collected but one count a round.
+Each step is an aggregation that is combined before its shuffle or a join of stored tables; they are written to the
+shared folder, so a lost executor costs no more than a step. Nothing is collected but whether rows are left.
 """
 
 from __future__ import annotations
@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.operators.contract import smallest_reachable
+
 from .common import materialize
 
 
@@ -16,14 +18,4 @@ def components(links: DataFrame, label: str = "components") -> DataFrame:
     """id, comp (smallest id reachable) for every id that ``links`` (a, b) names. No links: no rows."""
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
     both = materialize(both, f"{label}-edges")
-    state = materialize(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("comp")), f"{label}-0")
-    for r in range(1, 64):
-        near = both.join(state, both["b"] == state["id"]).groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("near"))
-        hooked = state.join(near, "id").select("id", F.least("comp", "near").alias("comp"), F.col("comp").alias("was"))
-        up = state.select(F.col("id").alias("comp"), F.col("comp").alias("up"))
-        jumped = hooked.join(up, "comp").select("id", F.least("comp", "up").alias("comp"), "was")
-        new = materialize(jumped, f"{label}-{r}")
-        if new.where("comp <> was").isEmpty():
-            return new.select("id", "comp")
-        state = new.select("id", "comp")
-    return state
+    return smallest_reachable(both, lambda df, step: materialize(df, f"{label}-{step}"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.model import DEPENDENCY_KINDS
+from graphloom.operators.contract import smallest_reachable
 from graphloom.operators.traverse import bfs
 from graphloom.plans.storage import stored
 
@@ -45,19 +46,13 @@ def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 20, damping:
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """id, component (smallest id), size; minimum labels with pointer jumping, hot nodes pre-aggregated."""
+    """id, component (smallest id), size; by contraction, hot nodes pre-aggregated."""
     e = projection(edges)
-    both = stored(e.select("src", "dst").union(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct(), "cc-edges")
-    label = stored(nodes.select("id", F.col("id").alias("component")), "cc-0")
-    for r in range(1, 64):
-        near = both.join(label, both["dst"] == label["id"]).groupBy(F.col("src").alias("id")).agg(F.min("component").alias("m"))
-        hooked = label.join(near, "id", "left").select("id", F.least("component", F.coalesce("m", "component")).alias("component"), F.col("component").alias("was"))
-        up = label.select(F.col("id").alias("component"), F.col("component").alias("up"))
-        new = stored(hooked.join(up, "component").select("id", F.least("component", "up").alias("component"), "was"), f"cc-{r}")
-        done = new.where("component <> was").isEmpty()
-        label = new.select("id", "component")
-        if done:
-            break
+    known = lambda c: nodes.select(F.col("id").alias(c)).distinct()
+    e = e.select(F.col("src").alias("a"), F.col("dst").alias("b")).where("a <> b").join(known("a"), "a", "left_semi").join(known("b"), "b", "left_semi")
+    both = stored(e.select("a", "b").union(e.select("b", "a")).distinct(), "cc-edges")
+    linked = smallest_reachable(both, lambda df, step: stored(df, f"cc-{step}"))
+    label = stored(nodes.select("id").join(linked, "id", "left").select("id", F.coalesce("comp", "id").alias("component")), "cc-labels")
     size = label.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     return label.join(size, "component").select("id", "component", "size")
 
