@@ -1,12 +1,10 @@
-"""Benchmark decontamination: CGK embedding, bit-sampling LSH over item-sized windows, exact edit verification.
+"""Benchmark decontamination: exact seeds by the pigeonhole principle, edit verification.
 
-Texts and items are sequences of words, lower-cased and without punctuation at their ends. A window of W words is
-embedded by the CGK random walk: at step t the walk emits the word it stands on and moves on by a random bit of (t,
-word), so that few edits become a small Hamming distance between two walks of equal randomness. Keys sample a few
-positions of a walk; several walks with several samples each reach the target recall. Items give windows at every offset
-and documents at every quarter of a window, in the largest size class that a copy of the item cannot fall between.
-Whatever shares a key is verified: the item's edit distance to the best stretch of words around the window must be at
-most EDIT_SHARE of its words.
+Texts and items are sequences of words, lower-cased and without punctuation at their ends. An item is cut into one
+segment more than the edits that EDIT_SHARE allows, so that in any stretch within that bound at least one segment (two to
+four words) stands unchanged. Every place of a document is looked up among the segments, hence the recall at EDIT_SHARE is
+1 but for the hashes. Around each seed the words of the item are counted, and where enough are there the item is
+verified: its edit distance to the best stretch of words must be at most EDIT_SHARE of its words.
 
 The items are a stated query set, matched in blocks of at most BLOCK_ITEMS against all rows; documents are not shuffled.
 
@@ -19,7 +17,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,25 +30,12 @@ from .editdist import best_infix
 from .ngram_join import mix
 from .tokenstore import slices
 
-WINDOWS = (4, 8, 16, 32, 64, 128)
 MIN_WORDS = 4
-WALKS, SAMPLES, POSITIONS = 2, 10, 6
 EDIT_SHARE = 0.25
-#: Windows that walk together, so that their state stays in the processor's cache.
-CACHED = 1 << 14
 BLOCK_ITEMS = 20_000
 _EDGE = " \t\n\r\x0b\x0c.,;:!?\"'`()[]{}<>|*_~#-–—«»„“”‚‘’…¿¡/\\"
 
 
-def stride(window: int) -> int:
-    return max(1, window // 4)
-
-
-def window_class(words: int) -> int:
-    """Largest window that any full copy of an item of so many words contains at one of a document's window starts."""
-    return max(w for w in WINDOWS if w + stride(w) - 1 <= words)
-
-
 def normal_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the normalised words of all texts, and the texts' offsets."""
     lists = pc.ascii_split_whitespace(pc.utf8_lower(texts))
@@ -65,57 +49,20 @@ def normal_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return h[real], np.concatenate([[0], np.cumsum(real)])[bounds]
 
 
-def steps(window: int) -> int:
-    """Length of a walk: later steps mostly stand behind the window's end, where all walks look alike."""
-    return window + window // 2
-
-
-@lru_cache(maxsize=None)
-def _plan(window: int, walk: int) -> dict[int, list[int]]:
-    """Steps of a walk that are sampled, with the samples that take them."""
-    rng = np.random.default_rng(1000 * window + walk)
-    plan: dict[int, list[int]] = {}
-    for s in range(SAMPLES):
-        for t in rng.choice(steps(window), size=min(POSITIONS, steps(window)), replace=False).tolist():
-            plan.setdefault(t, []).append(s)
-    return plan
-
-
-def walk_bits(words: np.ndarray, window: int, walk: int) -> list[np.ndarray]:
-    """Random bits of (step, word): 64 steps to each array."""
-    return [mix(words ^ np.uint64(0x9E3779B97F4A7C15 * (2 * walk + 1 + 64 * k) & 0xFFFFFFFFFFFFFFFF)) for k in range(-(-steps(window) // 64))]
-
-
-def window_keys(words: np.ndarray, bits: list[np.ndarray], starts: np.ndarray, window: int, walk: int) -> np.ndarray:
-    """A row of keys for each sample of a walk, over the windows that begin at ``starts``."""
-    plan = _plan(window, walk)
-    at, last = starts.copy(), starts + (window - 1)
-    keys = np.empty((SAMPLES, len(starts)), dtype=np.uint64)
-    keys[:] = (np.arange(SAMPLES, dtype=np.uint64) + np.uint64(window * 4096 + walk * 64))[:, None]
-    one = np.uint64(1)
-    for t in range(max(plan) + 1):
-        over = at > last
-        here = np.minimum(at, last)
-        if t in plan:
-            seen = words.take(here, mode="clip")
-            seen[over] = 0
-            for s in plan[t]:
-                k = keys[s]
-                k ^= seen
-                k *= np.uint64(0x9FB21C651E98DF25)
-                k ^= k >> np.uint64(29)
-        step = bits[t // 64].take(here, mode="clip")
-        step >>= np.uint64(t % 64)
-        step &= one
-        at += step.view(np.int64)
-    return keys
+def grams(words: np.ndarray) -> dict[int, np.ndarray]:
+    """Hashes of all runs of two, three and four words, by the word that they begin at."""
+    out = {1: words}
+    for k in range(2, 5):
+        m = max(0, len(words) - k + 1)
+        out[k] = mix(out[k - 1][:m] ^ mix(words[k - 1 :] + np.uint64(0x9E3779B9 * k))) if m else np.empty(0, np.uint64)
+    return {k: g for k, g in out.items() if k > 1}
 
 
 @dataclass
 class Probes:
-    """The keys of all item windows of one class, sorted, with the item and offset of each."""
+    """The segments of one length of all items, sorted by hash, with the item and offset of each."""
 
-    window: int
+    length: int
     keys: np.ndarray
     item: np.ndarray
     offset: np.ndarray
@@ -125,63 +72,57 @@ class Probes:
 _LOW = np.uint64((1 << 22) - 1)
 
 
+def edits_of(words: int) -> int:
+    return int(EDIT_SHARE * words)
+
+
 def build_probes(items: list[np.ndarray]) -> list[Probes]:
-    by_class: dict[int, list[int]] = {}
+    found: dict[int, list[tuple[int, int, int]]] = {}
     for i, w in enumerate(items):
         if len(w) >= MIN_WORDS:
-            by_class.setdefault(window_class(len(w)), []).append(i)
+            parts = edits_of(len(w)) + 1
+            cuts = [len(w) * k // parts for k in range(parts + 1)]
+            by = grams(w)
+            for a, b in zip(cuts, cuts[1:]):
+                found.setdefault(b - a, []).append((int(by[b - a][a]), i, a))
     out = []
-    for window, members in sorted(by_class.items()):
-        words = np.concatenate([items[i] for i in members])
-        ends = np.cumsum([len(items[i]) for i in members])
-        starts, item, offset = [], [], []
-        for i, e in zip(members, ends.tolist()):
-            n = len(items[i]) - window + 1
-            starts.append(np.arange(n) + e - len(items[i]))
-            item.append(np.full(n, i))
-            offset.append(np.arange(n))
-        s, it, of = map(np.concatenate, (starts, item, offset))
-        keys = [k for walk in range(WALKS) for k in window_keys(words, walk_bits(words, window, walk), s, window, walk)]
-        k, it, of = np.concatenate(keys), np.tile(it, len(keys)), np.tile(of, len(keys))
+    for length, rows in sorted(found.items()):
+        k = np.array([x[0] for x in rows], dtype=np.uint64)
+        it, of = np.array([x[1] for x in rows]), np.array([x[2] for x in rows])
         order = np.argsort(k, kind="stable")
         bitmap = np.zeros(1 << 22, dtype=bool)
         bitmap[(k & _LOW).astype(np.int64)] = True
-        out.append(Probes(window, k[order], it[order], of[order], bitmap))
+        out.append(Probes(length, k[order], it[order], of[order], bitmap))
     return out
 
 
 def find_hits(words: np.ndarray, bounds: np.ndarray, items: list[np.ndarray], probes: list[Probes]) -> list[tuple[int, int, int, int]]:
     """(text, item, edits, first word) of every verified pair of a text and an item, the best stretch of each."""
-    lens = np.diff(bounds)
     tries: set[tuple[int, int, int]] = set()
-    grid = [max(1, int(EDIT_SHARE * len(w))) for w in items]  # stretches that begin in one cell are verified as one
+    grid = [max(1, edits_of(len(w))) for w in items]  # stretches that begin in one cell are verified as one
+    held: dict[int, set[int]] = {}
+    by = grams(words)
     for p in probes:
-        step = stride(p.window)
-        count = np.where(lens >= p.window, (lens - p.window) // step + 1, 0)
-        total = int(count.sum())
-        if not total:
-            continue
-        doc = np.repeat(np.arange(len(lens)), count)
-        starts = bounds[:-1][doc] + step * (np.arange(total) - np.repeat(np.cumsum(count) - count, count))
-        for walk in range(WALKS):
-            bits = walk_bits(words, p.window, walk)
-            for c in range(0, total, CACHED):
-                part = starts[c : c + CACHED]
-                keys = window_keys(words, bits, part, p.window, walk)
-                may = np.flatnonzero(p.bitmap.take((keys & _LOW).view(np.int64).ravel()))
-                key, w = keys.ravel()[may], may % len(part) + c
-                lo, hi = np.searchsorted(p.keys, key, "left"), np.searchsorted(p.keys, key, "right")
-                for x, a, b in zip(w[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist()):
-                    d, s = int(doc[x]), int(starts[x])
-                    tries.update((d, it, (s - of) // grid[it]) for it, of in zip(p.item[a:b].tolist(), p.offset[a:b].tolist()))
+        g = by[p.length]
+        at = np.flatnonzero(p.bitmap.take((g & _LOW).view(np.int64)))
+        lo, hi = np.searchsorted(p.keys, g[at], "left"), np.searchsorted(p.keys, g[at], "right")
+        doc = np.searchsorted(bounds, at, side="right") - 1
+        real = (hi > lo) & (at + p.length <= bounds[doc + 1])
+        for s, d, a, b in zip(at[real].tolist(), doc[real].tolist(), lo[real].tolist(), hi[real].tolist()):
+            tries.update((d, it, (s - of) // grid[it]) for it, of in zip(p.item[a:b].tolist(), p.offset[a:b].tolist()))
     best: dict[tuple[int, int], tuple[int, int]] = {}
     for d, it, at in sorted(tries):
         item = items[it]
-        most = int(EDIT_SHARE * len(item))
+        most = edits_of(len(item))
         if best.get((d, it), (most + 1, 0))[0] == 0:
             continue
         lo, hi = max(int(bounds[d]), at * grid[it] - most), min(int(bounds[d + 1]), (at + 1) * grid[it] + len(item) + most)
-        edits, end = best_infix(item.tolist(), words[lo:hi].tolist())
+        near = words[lo:hi].tolist()
+        if it not in held:
+            held[it] = set(item.tolist())
+        if sum(map(held[it].__contains__, near)) < len(item) - most:
+            continue
+        edits, end = best_infix(item.tolist(), near)
         if edits <= most and edits < best.get((d, it), (most + 1, 0))[0]:
             best[(d, it)] = (edits, lo + max(0, end - len(item)) - int(bounds[d]))
     return [(d, it, e, s) for (d, it), (e, s) in best.items()]

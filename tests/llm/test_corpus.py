@@ -357,3 +357,24 @@ def test_short_lines_take_part(spark):
     rows = [(i, "\n".join(lines[5 * i : 5 * i + 5])) for i in range(-(-len(lines) // 5))]
     got = {x.doc_id: x.removed for x in line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == _kept_by_brute_force(rows)
+
+
+def test_edited_items_are_found(spark):
+    """Items of all sizes with a fifth to the allowed quarter of their words edited, against best_infix on every pair."""
+    from graphloom.llm.decontaminate import EDIT_SHARE, contamination
+    from graphloom.llm.editdist import best_infix
+
+    r = random.Random(21)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randrange(2, 8)))
+    items = [[word() for _ in range(n)] for n in (4, 7, 11, 20, 23, 45, 64, 100, 150, 200)]
+    docs = []
+    for i in range(100):
+        x = list(items[i % 10])
+        x = _edited(r, x, r.randrange(int(0.2 * len(x)), int(EDIT_SHARE * len(x)) + 2))
+        docs.append((i, [word() for _ in range(r.randrange(0, 80))] + x + [word() for _ in range(r.randrange(0, 80))]))
+    want = {(i, k): best_infix(x, w)[0] for i, w in docs for k, x in enumerate(items)}
+    want = {pair: e for pair, e in want.items() if e <= int(EDIT_SHARE * len(items[pair[1]]))}
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string")
+    its = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    got = {(x.doc_id, x.item_id): x.edits for x in contamination(df, its).collect()}
+    assert got == want and len(want) > 60
