@@ -1,17 +1,18 @@
 """Licence scan: normalised text against licence templates by the Dice coefficient of word bigrams.
 
-A template is a short notice or a licence's text. It is compared with every line, every block between empty lines and the
-whole text of a document. Bigrams are counted as multisets. A template of size B can only reach a coefficient t with
-units of t / (2 - t) * B to (2 - t) / t * B bigrams, so size alone settles most pairs; a unit must also hold enough of
-the bigrams that templates know at all. What is left is compared exactly.
+A template is a short notice or a licence's text. It is compared with every window of a document's words, across lines
+and empty lines. Bigrams are counted as multisets. A window of n bigrams that holds c of a template's B has at most
+2c / (n + B), so one that reaches a coefficient t holds at least t / (2 - t) * B of them within (2 - t) / t * B places, and
+the best begin and end on one. Starts that allow this are followed exactly. Of windows that overlap, the best counts.
 
-Nulls and edge cases: a null or empty text matches nothing; a unit of one word has no bigrams and matches nothing; the
+Nulls and edge cases: a null or empty text matches nothing; a text of one word has no bigrams and matches nothing; the
 better of two templates wins, on ties the smaller name; repeated rows each give a row; an empty table gives an empty
 result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -67,57 +68,57 @@ class Matcher:
         grams = [bigrams(words[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
         self.templates = [(name, Counter(g.tolist()), len(g)) for (name, _), g in zip(flat, grams) if len(g)]
         self.known = np.unique(np.concatenate(grams)) if grams else np.empty(0, np.uint64)
+        self.holds = [np.isin(self.known, g) for g in grams if len(g)]
         self.t = threshold
-        self.least = min((n for *_, n in self.templates), default=1) * threshold / (2 - threshold)
-        self.most = max((n for *_, n in self.templates), default=0) * (2 - threshold) / threshold
-
-    def best(self, grams: np.ndarray) -> list[tuple[float, str]]:
-        """Coefficients of the templates that reach the threshold, best first."""
-        n, t = len(grams), self.t
-        own = Counter(grams.tolist())
-        found = {}
-        for name, g, size in self.templates:
-            if t / (2 - t) * size <= n <= (2 - t) / t * size and (d := dice(own, g)) >= t:
-                found[name] = max(d, found.get(name, 0.0))
-        return sorted(((d, name) for name, d in found.items()), key=lambda x: (-x[0], x[1]))
 
     def scan(self, texts: pa.Array) -> list[list[tuple[float, str]]]:
-        """For each text, the best template of every unit that has one."""
+        """For each text, coefficient and template of every window that matches and overlaps no better one."""
         out: list[list[tuple[float, str]]] = [[] for _ in range(len(texts))]
-        lines = pc.split_pattern(texts, "\n")
-        of_line = np.repeat(np.arange(len(texts)), pc.list_value_length(lines).to_numpy())
-        flat = lines.flatten()
-        words, bounds = normal_words(flat)
-        empty = np.diff(bounds) == 0
-        new = np.concatenate([[True], (of_line[1:] != of_line[:-1]) | empty[1:] | empty[:-1]]) if len(flat) else np.empty(0, bool)
-        block_at = np.append(np.flatnonzero(new), len(flat))
-        doc_at = np.searchsorted(of_line, np.arange(len(texts) + 1))
-        units: set[tuple[int, int, int]] = set()
-        for at in (np.arange(len(flat) + 1), block_at, doc_at):
-            ends = bounds[at]
-            for u in self._likely(words, ends):
-                units.add((int(ends[u]), int(ends[u + 1]), int(of_line[at[u]])))
-        for a, b, d in sorted(units):
-            out[d].extend(self.best(bigrams(words[a:b]))[:1])
+        words, bounds = normal_words(texts)
+        g = bigrams(words)
+        if not len(g) or not len(self.known):
+            return out
+        code = np.minimum(np.searchsorted(self.known, g), len(self.known) - 1)
+        hit = self.known[code] == g
+        edges = bounds[1:-1]
+        hit[edges[(edges > 0) & (edges <= len(g))] - 1] = False  # from one text to the next
+        at = np.flatnonzero(hit)
+        code, doc = code[at], np.searchsorted(bounds, at, side="right") - 1
+        found: dict[int, list[tuple[float, str, int, int]]] = {}
+        for (name, own, size), holds in zip(self.templates, self.holds):
+            mine = np.flatnonzero(holds[code])
+            for w in self._windows(at[mine], g[at[mine]], doc[mine], own, size):
+                found.setdefault(w[0], []).append((w[1], name, w[2], w[3]))
+        for d, windows in found.items():
+            taken: list[tuple[int, int]] = []
+            for x, name, a, b in sorted(windows, key=lambda w: (-w[0], w[1], w[2], w[3])):
+                if all(b < c or e < a for c, e in taken):
+                    taken.append((a, b))
+                    out[d].append((x, name))
         return out
 
-    def _likely(self, words: np.ndarray, ends: np.ndarray) -> list[int]:
-        """Units whose size and number of known bigrams allow a match."""
-        n = np.maximum(np.diff(ends) - 1, 0)
-        fits = (n >= self.least) & (n <= self.most)
-        if not fits.any() or len(words) < 2:
-            return []
-        g = bigrams(words)
-        at = np.searchsorted(self.known, g)
-        hit = self.known[np.minimum(at, len(self.known) - 1)] == g
-        cum = np.concatenate([[0], np.cumsum(hit)])
-        u = np.flatnonzero(fits)
-        known = cum[ends[u + 1] - 1] - cum[ends[u]]
-        return u[known >= self.t / 2 * (n[u] + self.least)].tolist()
+    def _windows(self, at: np.ndarray, grams: np.ndarray, doc: np.ndarray, own: Counter, size: int) -> Iterator[tuple[int, float, int, int]]:
+        """(text, coefficient, first, last bigram): the best window from each start that reaches the threshold."""
+        least = math.ceil(self.t / (2 - self.t) * size - 1e-9)
+        most = math.floor((2 - self.t) / self.t * size + 1e-9)
+        if len(at) < least:
+            return
+        ahead = len(at) - least + 1
+        starts = np.flatnonzero((at[least - 1 :] - at[:ahead] < most) & (doc[least - 1 :] == doc[:ahead]))
+        for i in starts.tolist():
+            stop = min(int(np.searchsorted(at, at[i] + most)), int(np.searchsorted(doc, doc[i], side="right")))
+            left, held, best = dict(own), 0, (0.0, 0)
+            for x, p in zip(grams[i:stop].tolist(), (at[i:stop] - at[i]).tolist()):
+                if left[x] > 0:
+                    left[x] -= 1
+                    held += 1
+                    best = max(best, (2 * held / (p + 1 + size), -p))
+            if best[0] >= self.t:
+                yield int(doc[i]), best[0], int(at[i]), int(at[i]) - best[1]
 
 
 def license_report(docs: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, n_units (units that match), licenses (names, sorted, comma-joined), best (name or null), dice (0 without one)."""
+    """doc_id, n_units (windows that match, none overlapping), licenses (names, sorted, comma-joined), best (name or null), dice (0 without one)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Matcher(templates, threshold)

@@ -378,3 +378,29 @@ def test_edited_items_are_found(spark):
     its = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
     got = {(x.doc_id, x.item_id): x.edits for x in contamination(df, its).collect()}
     assert got == want and len(want) > 60
+
+
+def test_licenses_within_texts(spark):
+    """A licence of three paragraphs amid code, notices inside lines and paragraphs, against every window by brute force."""
+    from collections import Counter
+
+    import pyarrow as pa
+
+    from graphloom.llm.decontaminate import normal_words
+    from graphloom.llm.licenses import TEMPLATES, bigrams, dice, license_report
+
+    mit = TEMPLATES["MIT"][2].replace("conditions: The", "conditions:\n\nThe").replace("Software. THE", "Software.\n#\nTHE")
+    rows = [
+        (1, f"def main():\n    return 1\n\n{mit}\n\nimport os\nmore code here"),
+        (2, "Copyright 2021 Ann Example. Released under the MIT License."),
+        (3, "Some words of prose come first. This work is licensed under the GNU General Public License, version 3. And some follow; see also\nreleased under\n\nthe MIT License here."),
+        (4, "licensed under the stars"), (5, "This work is licensed"), (6, "under the GNU General Public License, version 2."),
+    ]
+    got = {r.doc_id: r for r in license_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: (r.n_units, r.licenses) for i, r in got.items()} == {1: (1, "MIT"), 2: (1, "MIT"), 3: (2, "GPL-3.0,MIT"), 4: (0, ""), 5: (0, ""), 6: (0, "")}
+    grams = lambda t: bigrams(normal_words(pa.array([t]))[0]).tolist()
+    flat = [Counter(grams(t)) for x in TEMPLATES.values() for t in x]
+    for i, t in rows[1:]:
+        g = grams(t)
+        top = max(dice(Counter(g[a:b]), x) for a in range(len(g)) for b in range(a + 1, len(g) + 1) for x in flat)
+        assert got[i].dice == (pytest.approx(top) if top >= 0.8 else 0)
