@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from graphloom.operators.traverse import bfs
 from graphloom.plans.storage import stored
 
 MAX_LIMIT, MAX_DEPTH = 500, 10
+BLOCK_SOURCES = 256
 
 
 def projection(edges: DataFrame) -> DataFrame:
@@ -57,15 +60,27 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return label.join(size, "component").select("id", "component", "size")
 
 
-def betweenness(edges: DataFrame, sources: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def betweenness(edges: DataFrame, sources: DataFrame | None = None, max_depth: int | None = MAX_DEPTH) -> DataFrame:
     """id, score: Brandes' dependencies summed over the given sources, as joins on (source, node) level by level.
 
-    ``sources`` bounds the work: one row of state for each source and node that it reaches within ``max_depth``.
+    No sources: all nodes with a dependency. No ``max_depth``: until nothing new is reached. ``BLOCK_SOURCES`` bounds the
+    work at a time: one row of state for each source of a block and node that it reaches.
     """
     steps = stored(projection(edges).select("src", "dst").distinct(), "bc-edges")
+    sources = stored((steps.select(F.col("src").alias("id")) if sources is None else sources.select("id")).distinct(), "bc-sources")
+    blocks = max(1, -(-sources.count() // BLOCK_SOURCES))
+    total = None
+    for b in range(blocks):
+        part = _dependencies(steps, sources.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b), max_depth)
+        part = part if blocks == 1 else stored(part, f"bc-part-{b}")
+        total = part if total is None else total.union(part)
+    return total if blocks == 1 else total.groupBy("id").agg(F.sum("score").alias("score"))
+
+
+def _dependencies(steps: DataFrame, sources: DataFrame, max_depth: int | None) -> DataFrame:
     seen = stored(sources.select(F.col("id").alias("s"), "id", F.lit(0).alias("d"), F.lit(1.0).alias("sigma")), "bc-0")
     levels = [seen]
-    for d in range(1, max_depth + 1):
+    for d in count(1) if max_depth is None else range(1, max_depth + 1):
         hop = levels[-1].join(steps, levels[-1]["id"] == steps["src"]).groupBy("s", F.col("dst").alias("id")).agg(F.sum("sigma").alias("sigma"))
         new = stored(hop.join(seen.select("s", "id"), ["s", "id"], "left_anti").select("s", "id", F.lit(d).alias("d"), "sigma"), f"bc-{d}")
         if new.isEmpty():

@@ -58,3 +58,33 @@ def test_components_of_long_paths(spark):
     nodes = spark.createDataFrame([(name(i),) for i in [*want, 5 * 10**9]], "id string")
     got = {x.id: (x.component, x.size) for x in analytics.components(nodes, edges).collect()}
     assert got == {name(i): (name(c), 900 if c < 10**9 else 300) for i, c in want.items()} | {name(5 * 10**9): (name(5 * 10**9), 1)}
+
+
+def test_betweenness_of_the_whole_graph(spark, monkeypatch):
+    """All sources in several blocks and paths of any length, against Brandes over the bridged graph."""
+    from graphloom.operators import analytics
+    from graphloom.plans import bridge
+
+    monkeypatch.setattr(analytics, "BLOCK_SOURCES", 128)
+    out = {}
+    for x in analytics.projection(bridge.view(spark, SF, "edges")).select("src", "dst").distinct().collect():
+        out.setdefault(x.src, []).append(x.dst)
+    want = {}
+    for s in out:
+        depth, sigma, order = {s: 0}, {s: 1.0}, [s]
+        for v in order:
+            for w in out.get(v, ()):
+                if w not in depth:
+                    depth[w], sigma[w] = depth[v] + 1, 0.0
+                    order.append(w)
+                if depth[w] == depth[v] + 1:
+                    sigma[w] += sigma[v]
+        delta = dict.fromkeys(order, 0.0)
+        for v in reversed(order):
+            for w in out.get(v, ()):
+                if depth[w] == depth[v] + 1:
+                    delta[v] += sigma[v] / sigma[w] * (1 + delta[w])
+            if v != s:
+                want[v] = want.get(v, 0.0) + delta[v]
+    got = {x.id: x.score for x in queries.n7_betweenness(spark, SF).collect()}
+    assert got == pytest.approx(want, abs=1e-5)
