@@ -4,8 +4,8 @@ Positions are code points, end exclusive. Base kinds are matched leftmost and no
 fails its length test is dropped with the text it consumed. The entropy kind slides a window over every candidate run of
 a character class: the counts of the window's characters are kept in the fold's state, and each step changes two of them
 and two terms of the sum, so a window costs the same at any width. Windows over the class's threshold merge into one
-span, from the first such window to the last. A span that an allow-list pattern matches, or that lies inside a base
-span, is suppressed; base spans always stay.
+span, from the first such window to the last. A span is suppressed if no window over the threshold is left between the parts
+of its run that allow-list patterns match, or if it lies inside a base span; base spans always stay.
 
 Nulls and edge cases: a null text counts as empty (no spans, the hash of the empty string); repeated rows are scanned
 row by row; extra columns are not read; an empty table gives an empty result.
@@ -106,7 +106,7 @@ def entropy_reach(s: Column, bits: float) -> Column:
 
 
 def entropy_spans(candidates: Column, text: Column, rank: int, cls: CharClass, allow=ALLOW) -> Column:
-    """Spans over the threshold inside candidate spans (as match_spans gives them), without allow-listed strings."""
+    """Spans over the threshold inside candidate spans (as match_spans gives them), unless only allow-listed strings reach it."""
     def look(z: Column) -> Column:
         s = F.substring(text, z["start"] + 1, z["end"] - z["start"])
         reach = entropy_reach(s, cls.bits)
@@ -115,7 +115,8 @@ def entropy_spans(candidates: Column, text: Column, rank: int, cls: CharClass, a
 
     looked = F.filter(F.transform(candidates, look), lambda z: z["hit"])
     listed = "|".join(f"(?:{a})" for a in allow)
-    looked = F.filter(looked, lambda z: ~z["s"].rlike(listed))
+    beside = lambda s: F.exists(F.split(s, listed, -1), lambda x: (F.length(x) >= WINDOW) & (entropy_reach(x, cls.bits)["lo"] >= 0))
+    looked = F.filter(looked, lambda z: F.when(z["s"].rlike(listed), beside(z["s"])).otherwise(True))
     return F.transform(looked, lambda z: F.struct(z["start"].alias("start"), z["rank"].alias("rank"), z["end"].alias("end"), z["kind"].alias("kind")))
 
 

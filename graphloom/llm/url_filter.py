@@ -18,8 +18,6 @@ from pyspark.sql import functions as F
 
 from .common import materialize, maybe_broadcast
 
-MAX_SEGMENTS = 8  # path segments of the longest prefix pattern
-
 
 def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1))
@@ -30,14 +28,14 @@ def path_segments(url: Column) -> Column:
     return F.filter(F.split(path, "/", -1), lambda s: s != "")
 
 
-def lookup_keys(url: Column) -> Column:
-    """All (kind, pattern) under which a capture of the url can be listed."""
+def lookup_keys(url: Column, longest: int) -> Column:
+    """All (kind, pattern) under which a capture of the url can be listed, if prefixes have at most ``longest`` path segments."""
     host, segments = host_of(url), path_segments(url)
     labels = F.split(host, "[.]", -1)
     n = F.size(labels)
     key = lambda kind, p: F.struct(F.lit(kind).alias("kind"), p.alias("pattern"))
     domains = F.transform(F.sequence(F.lit(1), n), lambda i: key("domain", F.array_join(F.slice(labels, i, n), ".")))
-    depth = F.least(F.size(segments), F.lit(MAX_SEGMENTS))
+    depth = F.least(F.size(segments), F.lit(longest))
     steps = F.when(depth > 0, F.sequence(F.lit(1), depth)).otherwise(F.array().cast("array<int>"))
     prefixes = F.transform(steps, lambda i: key("prefix", F.concat(host, F.lit("/"), F.array_join(F.slice(segments, 1, i), "/"))))
     none = F.array().cast("array<struct<kind:string,pattern:string>>")
@@ -58,7 +56,8 @@ def validity_intervals(entries: DataFrame) -> DataFrame:
 def filter_captures(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """page_id, host, fetched, n_active (active entries that match), categories (sorted, comma-joined), blocked."""
     spans = materialize(validity_intervals(entries), "url-intervals")
-    rows = captures.select("page_id", host_of(F.col("url")).alias("host"), "fetched", lookup_keys(F.col("url")).alias("keys"), F.monotonically_increasing_id().alias("row"))
+    longest = spans.where("kind = 'prefix'").agg(F.max(F.size(F.split("pattern", "/", -1)) - 1)).first()[0] or 0
+    rows = captures.select("page_id", host_of(F.col("url")).alias("host"), "fetched", lookup_keys(F.col("url"), longest).alias("keys"), F.monotonically_increasing_id().alias("row"))
     keyed = rows.select("page_id", "host", "fetched", "row", F.explode_outer("keys").alias("k"))
     found = keyed.join(
         maybe_broadcast(spans, spans.count(), 160),

@@ -404,3 +404,23 @@ def test_licenses_within_texts(spark):
         g = grams(t)
         top = max(dice(Counter(g[a:b]), x) for a in range(len(g)) for b in range(a + 1, len(g) + 1) for x in flat)
         assert got[i].dice == (pytest.approx(top) if top >= 0.8 else 0)
+
+
+def test_long_prefixes_match(spark):
+    """A prefix of ten path segments is looked up as deep as it goes."""
+    from graphloom.llm.url_filter import filter_captures
+
+    path = "ok.test/" + "/".join("abcdefghij")
+    entries = spark.createDataFrame([("prefix", path, "mal", "add", 1)], "kind string, pattern string, category string, action string, at int")
+    caps = spark.createDataFrame([(1, f"http://{path}/k/l", 2), (2, f"http://{path}", 2), (3, f"http://{path[:-2]}", 2)], "page_id long, url string, fetched int")
+    assert sorted((r.page_id, r.categories) for r in filter_captures(caps, entries).collect()) == [(1, "mal"), (2, "mal"), (3, "")]
+
+
+def test_allow_list_spares_keys_beside_it(spark):
+    """A harmless word in a path hides neither the key behind it nor one before it, but still itself."""
+    from graphloom.llm.secrets import secret_report
+
+    key = "q7Gk2LmX9vB4nR8sT1wY0z"
+    rows = [(1, f"/sample/{key}"), (2, f"{key}-example"), (3, "example-key-0123456789-abcdefghij"), (4, "550e8400-e29b-41d4-a716-446655440000")]
+    got = {r.doc_id: r.spans for r in secret_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert "entropy_base64" in got[1] and "entropy_base64" in got[2] and got[3] == got[4] == ""
