@@ -34,33 +34,44 @@ def in_degree(nodes: DataFrame, edges: DataFrame, kind: str = "RESOURCE") -> Dat
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 20, damping: float = 0.85) -> DataFrame:
-    """id, score after a fixed number of iterations: 1 - damping + damping * sum of score / out-degree over inbound edges."""
+    """id, score after a fixed number of iterations: 1 - damping + damping * sum of score / out-degree over inbound edges.
+
+    The weighted links stay partitioned by source, as does the score of each round, so a round shuffles only its sums,
+    combined before. Nodes without inbound links take part through a contribution of zero.
+    """
     e = projection(edges)
     out = e.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
     links = stored(e.join(out, "src").select("src", "dst", (F.lit(damping) / F.col("deg")).alias("w")).groupBy("src", "dst").agg(F.sum("w").alias("w")), "pr-links")
-    ids = stored(nodes.select("id"), "pr-ids")
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    links = links.repartition(parts, "src").persist()
+    ids = stored(nodes.select("id").distinct(), "pr-ids")
     rank = ids.withColumn("score", F.lit(1.0 - damping))
+    none = ids.withColumn("v", F.lit(0.0))
     for i in range(iterations):
-        got = links.join(rank, links["src"] == rank["id"]).groupBy("dst").agg(F.sum(F.col("score") * F.col("w")).alias("s"))
-        rank = ids.join(got, ids["id"] == got["dst"], "left").select("id", (F.lit(1.0 - damping) + F.coalesce("s", F.lit(0.0))).alias("score"))
-        if i % 4 == 3:
+        got = links.join(rank, links["src"] == rank["id"]).select(F.col("dst").alias("id"), (F.col("score") * F.col("w")).alias("v"))
+        # A link to an id that is no node counts for nothing: only ids that have a zero row stay.
+        sums = got.withColumn("own", F.lit(False)).union(none.withColumn("own", F.lit(True))).groupBy("id").agg(F.sum("v").alias("s"), F.max("own").alias("own"))
+        rank = sums.where("own").select("id", (F.lit(1.0 - damping) + F.col("s")).alias("score"))
+        if i % 5 == 4:
             rank = stored(rank, f"pr-{i}")
+    rank = stored(rank, "pr-rank")
+    links.unpersist()
     return rank
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """id, component (smallest id), size; by contraction, hot nodes pre-aggregated."""
-    e = projection(edges)
-    known = lambda c: nodes.select(F.col("id").alias(c)).distinct()
-    e = e.select(F.col("src").alias("a"), F.col("dst").alias("b")).where("a <> b").join(known("a"), "a", "left_semi").join(known("b"), "b", "left_semi")
+    """id, component (smallest id), size; by contraction over numbers that stand for the ids, hot nodes pre-aggregated."""
+    ids = stored(nodes.select("id").distinct().withColumn("n", F.monotonically_increasing_id()), "cc-ids")
+    known = lambda c: ids.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"))
+    e = projection(edges).select("src", "dst").where("src <> dst").join(known("src"), "src").join(known("dst"), "dst").select(F.col("n_src").alias("a"), F.col("n_dst").alias("b"))
     both = stored(e.select("a", "b").union(e.select("b", "a")).distinct(), "cc-edges")
     linked = smallest_reachable(both, lambda df, step: stored(df, f"cc-{step}"))
-    label = stored(nodes.select("id").join(linked, "id", "left").select("id", F.coalesce("comp", "id").alias("component")), "cc-labels")
-    size = label.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    return label.join(size, "component").select("id", "component", "size")
+    label = stored(ids.join(linked.withColumnRenamed("id", "n"), "n", "left").select("id", F.coalesce("comp", "n").alias("c")), "cc-labels")
+    size = label.groupBy("c").agg(F.min("id").alias("component"), F.count(F.lit(1)).alias("size"))
+    return label.join(size, "c").select("id", "component", "size")
 
 
-def betweenness(edges: DataFrame, sources: DataFrame | None = None, max_depth: int | None = MAX_DEPTH) -> DataFrame:
+def betweenness(edges: DataFrame, sources: DataFrame | None = None, max_depth: int | None = None) -> DataFrame:
     """id, score: Brandes' dependencies summed over the given sources, as joins on (source, node) level by level.
 
     No sources: all nodes with a dependency. No ``max_depth``: until nothing new is reached. ``BLOCK_SOURCES`` bounds the
@@ -107,8 +118,36 @@ def report(rows: DataFrame, limit: int, degraded: bool = False, note: str | None
     return {"engine": "spark", "rows": rows.limit(limit), "truncated": cut.count() > limit, "degraded": degraded, "note": note}
 
 
+def numbered(values: DataFrame, column: str) -> DataFrame:
+    """The distinct values with ``number``, their rank from 1: a ranged sort, then an offset for each partition."""
+    parts = values.select(column).distinct().repartitionByRange(column).withColumn("__part", F.spark_partition_id())
+    parts = stored(parts, "numbered")
+    inside = parts.withColumn("__i", F.row_number().over(Window.partitionBy("__part").orderBy(column)))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
+    offsets = parts.groupBy("__part").agg(F.count(F.lit(1)).alias("__n")).withColumn("__at", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    return inside.join(offsets, "__part").select(column, (F.col("__at") + F.col("__i")).cast("long").alias("number"))
+
+
 def clusters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """id, component, size with components numbered by their smallest id; largest first."""
+    """id, component, size, score (the size) with components numbered by their smallest id; largest first."""
     c = components(nodes, edges)
-    names = c.select("component").distinct().withColumn("number", F.dense_rank().over(Window.orderBy("component")).cast("long"))
-    return c.join(names, "component").select("id", F.col("number").alias("component"), "size").orderBy(F.desc("size"), "component", "id")
+    out = c.join(numbered(c, "component"), "component").select("id", F.col("number").alias("component"), "size", F.col("size").cast("double").alias("score"))
+    return out.orderBy(F.desc("size"), "component", "id")
+
+
+#: How each mode of the analytics runs here; every one is native, so none is degraded.
+MODES = ("blast_radius", "critical_resources", "bridges", "clusters")
+
+
+def run(mode: str, nodes: DataFrame, edges: DataFrame, node: str | None = None, depth: int | None = None) -> DataFrame:
+    """The rows of a mode, best first."""
+    if mode == "blast_radius":
+        roots = nodes.sparkSession.createDataFrame([(node,)], "id string")
+        return blast_radius(edges, roots, MAX_DEPTH if depth is None else depth).select("id", "distance").orderBy("distance", "id")
+    if mode == "critical_resources":
+        return pagerank(nodes, edges).join(nodes.where("kind = 'RESOURCE'").select("id", "name"), "id").orderBy(F.desc("score"), "id")
+    if mode == "bridges":
+        return betweenness(edges).orderBy(F.desc("score"), "id")
+    if mode == "clusters":
+        return clusters(nodes, edges)
+    raise ValueError(f"unknown mode {mode}")

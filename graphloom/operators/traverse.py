@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, StructType
 
 from graphloom.plans.storage import small, stored
 
@@ -25,18 +26,19 @@ def bfs(edges: DataFrame, starts: DataFrame, depth: int, kinds=None, inbound: bo
     """
     steps = stored(_steps(edges, kinds, inbound, both), "bfs-edges")
     reached = stored(starts.select(F.col("id").alias("root"), "id", F.lit(0).alias("depth")).distinct(), "bfs-0")
-    frontier, met = reached, None
+    frontier, n, met = reached, reached.count(), None
     for d in range(1, depth + 1):
-        hop = steps.join(small(frontier.select("root", F.col("id").alias("near")), frontier.count()), "near")
+        if not n:
+            break
+        hop = steps.join(small(frontier.select("root", F.col("id").alias("near")), n), "near")
         if members is not None:
             hop = hop.join(members.select(F.col("node_id").alias("far")), "far", "left_semi")
-        hop = stored(hop.select("root", "kind", "src", "dst", "far").distinct(), f"bfs-hop{d}")
+        hop = stored(hop.select("root", "kind", "src", "dst", "far"), f"bfs-hop{d}")
         met = hop.withColumn("depth", F.lit(d)) if met is None else met.union(hop.withColumn("depth", F.lit(d)))
         new = hop.select("root", F.col("far").alias("id")).distinct().join(reached.select("root", "id"), ["root", "id"], "left_anti")
         frontier = stored(new.withColumn("depth", F.lit(d)), f"bfs-{d}")
-        if frontier.isEmpty():
-            break
-        reached = reached.union(frontier)
+        n = frontier.count()  # from the files' footers
+        reached = reached.union(frontier) if n else reached
     if met is None:
         met = steps.select(F.lit("").alias("root"), "kind", "src", "dst", "far", F.lit(0).alias("depth")).limit(0)
     met = met.groupBy("root", "kind", "src", "dst").agg(F.min("depth").alias("depth"))
@@ -55,12 +57,39 @@ def traverse(edges: DataFrame, start: str, depth: int, kinds=None, inbound=False
     return first.limit(budget).drop("root"), n > budget or cut
 
 
+def field_of(nodes: DataFrame, name: str) -> Column:
+    """A node's repository, branch or path: its own column, else that of its location, else the property; null without any."""
+    kinds = {f.name: f.dataType for f in nodes.schema}
+    found = [F.col(name)] if name in kinds else []
+    if isinstance(kinds.get("location"), StructType) and name in kinds["location"].fieldNames():
+        found.append(F.col("location")[name])
+    if isinstance(kinds.get("properties"), MapType):
+        found.append(F.col("properties")[name])
+    return F.coalesce(*found) if found else F.lit(None).cast("string")
+
+
+def in_repository(nodes: DataFrame, repo: str) -> Column:
+    """Whether a node's column, location or property names the repository."""
+    kinds = {f.name: f.dataType for f in nodes.schema}
+    tests = [F.col("repository") == repo] if "repository" in kinds else []
+    if isinstance(kinds.get("location"), StructType):
+        tests.append(F.col("location")["repository"] == repo)
+    if isinstance(kinds.get("properties"), MapType):
+        tests.append(F.col("properties")["repository"] == repo)
+    out = F.lit(False)
+    for t in tests:
+        out = out | F.coalesce(t, F.lit(False))
+    return out
+
+
 def branch_members(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node_id, branch_id, branch: what the head commit of each branch contains, and nodes that name a branch themselves."""
+    """node_id, branch_id, branch: what the head commit of each branch contains, and nodes that name a branch themselves (branch_id null)."""
     points = edges.where("kind = 'POINTS_TO'").select(F.col("src").alias("branch_id"), F.col("dst").alias("commit_id"))
     holds = edges.where("kind = 'CONTAINS_STATE_OF'").select(F.col("src").alias("commit_id"), F.col("dst").alias("node_id"))
     names = nodes.where("kind = 'BRANCH'").select(F.col("id").alias("branch_id"), F.col("name").alias("branch"))
-    return points.join(holds, "commit_id").join(names, "branch_id").select("node_id", "branch_id", "branch").distinct()
+    held = points.join(holds, "commit_id").join(names, "branch_id").select("node_id", "branch_id", "branch")
+    own = nodes.select(F.col("id").alias("node_id"), F.lit(None).cast("string").alias("branch_id"), field_of(nodes, "branch").alias("branch")).where("branch is not null")
+    return held.union(own).distinct()
 
 
 def edge_branch_gate(edges: DataFrame, branch: str, service_kinds, exact: bool = False) -> DataFrame:
@@ -71,6 +100,13 @@ def edge_branch_gate(edges: DataFrame, branch: str, service_kinds, exact: bool =
     return edges.where(~F.col("kind").isin(*service_kinds) | F.col("branch_pairs").isNull() | named)
 
 
+def edges_at(edges: DataFrame, node: str, inbound: bool, kind: str | None = None) -> DataFrame:
+    """The edges that leave or reach a node, of one kind or of all, in a total order."""
+    here, other = ("dst", "src") if inbound else ("src", "dst")
+    at = edges.where(F.col(here) == node)
+    return (at if kind is None else at.where(F.col("kind") == kind)).orderBy("kind", other)
+
+
 def neighbours(edges: DataFrame, node: str, kinds, inbound: bool, limit: int) -> DataFrame:
     """The first edges at a node in the order of kinds, then of the other end."""
     here, other = ("dst", "src") if inbound else ("src", "dst")

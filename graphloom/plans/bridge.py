@@ -34,20 +34,24 @@ JOIN parts a ON t.x = a.p_partkey JOIN parts b ON t.y = b.p_partkey WHERE x <> y
     "deps": """
 SELECT DISTINCT CASE l_returnflag || l_linestatus WHEN 'AF' THEN 'READS_FROM' WHEN 'AO' THEN 'WRITES_TO' WHEN 'NF' THEN 'INVOKES' WHEN 'NO' THEN 'CONNECTS_TO' WHEN 'RF' THEN 'QUERIES' ELSE 'DEPENDS_ON' END AS kind, p.id AS src, s.id AS dst
 FROM {lineitem} l JOIN parts p ON l.l_partkey = p.p_partkey JOIN suppliers s ON l.l_suppkey = s.s_suppkey""",
+    "imports": """
+SELECT DISTINCT a.id AS src, b.id AS dst FROM {lineitem} x JOIN {lineitem} y ON x.l_orderkey = y.l_orderkey AND x.l_linenumber = 1 AND y.l_linenumber = 2
+JOIN parts a ON x.l_partkey = a.p_partkey JOIN parts b ON y.l_partkey = b.p_partkey WHERE x.l_partkey <> y.l_partkey""",
     "holds": """
 SELECT DISTINCT h.commit_id AS src, p.id AS dst
 FROM {lineitem} l JOIN {orders} o ON l.l_orderkey = o.o_orderkey JOIN {customer} c ON o.o_custkey = c.c_custkey JOIN {nation} n ON c.c_nationkey = n.n_nationkey
 JOIN heads h ON h.repo = n.n_name AND h.branch = o.o_orderstatus JOIN parts p ON l.l_partkey = p.p_partkey""",
     "edges": """
-SELECT 'CALLS' AS kind, src, dst FROM calls UNION ALL SELECT kind, src, dst FROM deps UNION ALL SELECT 'CONTAINS_STATE_OF', src, dst FROM holds
+SELECT 'CALLS' AS kind, src, dst FROM calls UNION ALL SELECT 'IMPORTS', src, dst FROM imports UNION ALL SELECT kind, src, dst FROM deps UNION ALL SELECT 'CONTAINS_STATE_OF', src, dst FROM holds
 UNION ALL SELECT 'HAS_BRANCH', SHA[repo || '::repo::' || repo], branch_id FROM heads UNION ALL SELECT 'POINTS_TO', branch_id, commit_id FROM heads""",
-    "dep": "SELECT kind, src, dst FROM edges WHERE kind IN ('CALLS', 'READS_FROM', 'WRITES_TO', 'INVOKES', 'CONNECTS_TO', 'QUERIES', 'DEPENDS_ON')",
+    # The kinds that count as dependencies and occur here, written out: the queries' SQL doesn't share the engine's list.
+    "dep": "SELECT kind, src, dst FROM edges WHERE kind IN ('DEPENDS_ON', 'IMPORTS', 'READS_FROM', 'WRITES_TO', 'INVOKES', 'CONNECTS_TO', 'QUERIES')",
     "deployments": """
 SELECT o.o_orderpriority AS environment, n.n_name AS repository, CAST(o.o_orderkey AS STRING) AS commit_sha, CAST(CAST(o.o_orderdate AS DATE) AS STRING) AS deployed_at, o.o_orderstatus AS status, CAST(NULL AS STRING) AS release
 FROM {orders} o JOIN {customer} c ON o.o_custkey = c.c_custkey JOIN {nation} n ON c.c_nationkey = n.n_nationkey""",
     "contracts": """
 SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS repo_id, CASE WHEN page_id % 2 = 0 THEN 'main' ELSE 'dev' END AS branch,
-  regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path FROM {pages}""",
+  '/' || regexp_extract(url, '([^./]+)[.]example[.]', 1) || regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path FROM {pages}""",
 }
 
 

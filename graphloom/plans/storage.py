@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -9,22 +10,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
+_HOMES: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """``spark.checkpoint.dir``; where it is unset, a temporary folder on a local master, and an error on a cluster."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if base:
         return base.rstrip("/")
     own = getattr(spark.sparkContext, "_graph_tmp", None)
     if own is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         own = spark.sparkContext._graph_tmp = "file://" + tempfile.mkdtemp(prefix="graph-")
+        atexit.register(_forget, spark, own)
     return own
 
 
+def _forget(spark: SparkSession, path: str) -> None:
+    try:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the JVM has gone first; the folder belongs to this application alone
+        pass
+
+
 def stored(df: DataFrame, label: str = "step") -> DataFrame:
-    path = f"{shared_dir(df.sparkSession)}/graph-{df.sparkSession.sparkContext.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
+    """``df`` written as Parquet and read again; the application's tables are removed when it ends."""
+    spark = df.sparkSession
+    home = f"{shared_dir(spark)}/graph-{spark.sparkContext.applicationId}"
+    if home not in _HOMES:
+        _HOMES.add(home)
+        atexit.register(_forget, spark, home)
+    path = f"{home}/{label}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:

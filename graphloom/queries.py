@@ -24,8 +24,8 @@ def query(sql: str | None = None):
     return add
 
 
-KINDS = ", ".join(f"'{k}'" for k in DEPENDENCY_KINDS)
-RANK = "CASE kind " + " ".join(f"WHEN '{k}' THEN {i + 1}" for i, k in enumerate(DEPENDENCY_KINDS)) + " END"
+RANK = """CASE kind WHEN 'DEPENDS_ON' THEN 1 WHEN 'IMPORTS' THEN 2 WHEN 'CALLS_API' THEN 3 WHEN 'PUBLISH_TO' THEN 4 WHEN 'CONSUME_FROM' THEN 5 WHEN 'READS_FROM' THEN 6
+  WHEN 'WRITES_TO' THEN 7 WHEN 'INVOKES' THEN 8 WHEN 'CONNECTS_TO' THEN 9 WHEN 'QUERIES' THEN 10 END"""
 ROOT = "(SELECT id FROM parts WHERE p_partkey = 1)"
 
 
@@ -134,7 +134,7 @@ def d6_current_deployments(spark, sf):
     return deploy.current_deployments(bridge.view(spark, sf, "deployments"))
 
 
-@query("""SELECT DISTINCT 'DEPLOYED_TO' AS kind, sha256(repository || '::commit::' || commit_sha) AS src, sha256('environment::' || environment) AS dst, environment, repository, commit_sha, status, deployed_at, release FROM deployments""")
+@query("""SELECT DISTINCT 'DEPLOYED_TO' AS kind, sha256(repository || '::commit::' || commit_sha) AS src, sha256('deployment-environment::' || environment) AS dst, environment, repository, commit_sha, status, deployed_at, release FROM deployments""")
 def d7_deployment_edges(spark, sf):
     return deploy.deployment_facts(bridge.view(spark, sf, "deployments"))[1]
 
@@ -191,22 +191,51 @@ def d1_snapshot_diff(spark, sf):
     return snapshot.diff(_snapshot(spark, sf, 0), _snapshot(spark, sf, 1), ["id"], ["n"])
 
 
-@query(f"""WITH o AS {OLD_NEW.format(CUTS[0])}, n AS {OLD_NEW.format(CUTS[1])}, held AS (SELECT DISTINCT dst AS id FROM holds),
-x AS (SELECT o.id AS oid, n.id AS nid, CASE WHEN o.id IS NULL THEN 'node_create' WHEN n.id IS NULL THEN 'node_delete' ELSE 'node_update' END AS outcome FROM o FULL JOIN n ON o.id = n.id WHERE o.n IS DISTINCT FROM n.n)
-SELECT outcome, count(*) AS n FROM x GROUP BY outcome
-UNION ALL SELECT 'nodes_retained', count(*) FROM x WHERE outcome = 'node_delete' AND oid IN (SELECT id FROM held)
-UNION ALL SELECT 'errors', 0""")
+# A delta made against an older base than the graph it meets: it creates nodes that are there, deletes nodes that are
+# not or that a commit holds, and ties edges to nodes that are missing.
+_K1 = f"""WITH o AS {OLD_NEW.format(CUTS[0])}, n AS {OLD_NEW.format(CUTS[1])},
+base AS (SELECT o.id, o.n FROM o JOIN parts p ON p.id = o.id WHERE p.p_partkey % 3 <> 0), ghosts AS (SELECT id || 'x' AS id FROM parts WHERE p_partkey % 50 = 0),
+nop AS (SELECT CASE WHEN b.id IS NULL THEN 'CREATE' WHEN n.id IS NULL THEN 'DELETE' ELSE 'UPDATE' END AS op, coalesce(b.id, n.id) AS id FROM base b FULL JOIN n ON b.id = n.id WHERE b.n IS DISTINCT FROM n.n
+  UNION ALL SELECT 'DELETE', id FROM ghosts),
+olde AS (SELECT src, dst FROM imports WHERE src < dst), newe AS (SELECT src, dst FROM imports WHERE dst < src OR src LIKE 'a%'),
+eop AS (SELECT CASE WHEN a.src IS NULL THEN 'CREATE' ELSE 'DELETE' END AS op, coalesce(a.src, b.src) AS src, coalesce(a.dst, b.dst) AS dst FROM olde a FULL JOIN newe b ON a.src = b.src AND a.dst = b.dst WHERE a.src IS NULL OR b.src IS NULL),
+there AS (SELECT id FROM o UNION SELECT id FROM n UNION SELECT src FROM holds), held AS (SELECT DISTINCT dst AS id FROM holds WHERE src LIKE '0%' OR src LIKE '8%')"""
+
+
+@query(_K1 + """
+SELECT outcome, count(*) AS n FROM (
+  SELECT CASE WHEN op = 'CREATE' AND id NOT IN (SELECT id FROM o) THEN 'created_nodes' ELSE 'updated_nodes' END AS outcome FROM nop WHERE op <> 'DELETE'
+  UNION ALL SELECT CASE WHEN id IN (SELECT id FROM held) THEN 'nodes_retained' ELSE 'deleted_nodes' END FROM nop WHERE op = 'DELETE' AND id IN (SELECT id FROM there)
+  UNION ALL SELECT 'errors' FROM eop WHERE op = 'CREATE' AND NOT (src IN (SELECT id FROM there) AND dst IN (SELECT id FROM there))
+  UNION ALL SELECT 'created_rels' FROM eop WHERE op = 'CREATE' AND src IN (SELECT id FROM there) AND dst IN (SELECT id FROM there)
+  UNION ALL SELECT 'deleted_rels' FROM eop WHERE op = 'DELETE') GROUP BY outcome""")
 def k1_apply_delta(spark, sf):
+    return _applied(spark, sf)[2]
+
+
+def _applied(spark, sf):
     old, new = stored(_snapshot(spark, sf, 0)), stored(_snapshot(spark, sf, 1))
-    held = bridge.view(spark, sf, "edges").where("kind = 'CONTAINS_STATE_OF'")
+    parts = stored(bridge.view(spark, sf, "parts"))
+    base = old.join(parts.where("p_partkey % 3 <> 0").select("id"), "id", "left_semi")
+    held = stored(bridge.view(spark, sf, "edges").where("kind = 'CONTAINS_STATE_OF'"))
+    ties = stored(bridge.view(spark, sf, "edges").where("kind = 'IMPORTS'"))
+    before, after = ties.where("src < dst"), ties.where("dst < src or src like 'a%'")
+    ops = snapshot.graph_delta(base, before, new, after, ["n"], ["kind"])
+    ghosts = parts.where("p_partkey % 50 = 0").selectExpr("3 AS phase", "'DELETE' AS op", "'node' AS entity", "CAST(NULL AS STRING) AS kind", "id || 'x' AS a", "CAST(NULL AS STRING) AS b")
     commits = held.select(F.col("src").alias("id")).distinct().withColumn("n", F.lit(0).cast("long"))
-    present = old.union(commits).union(new.join(old, "id", "left_anti")).dropDuplicates(["id"])
-    held = stored(snapshot.drop_dangling(present, held)[0])
-    keep = old.union(commits), new.union(commits)
-    keep = stored(keep[0]), stored(keep[1])
-    ops = stored(snapshot.graph_delta(keep[0], held, keep[1], held, ["n"], ["kind"]))
-    before = stored(held.join(keep[0].select(F.col("id").alias("dst")), "dst", "left_semi").select("kind", "src", "dst"))
-    return snapshot.apply_delta(keep[0], before, keep[1], held, ops)[2]
+    graph = stored(old.union(commits)), stored(before.union(held.where("src like '0%' or src like '8%'")))
+    return snapshot.apply_delta(*graph, new, after, stored(ops.union(ghosts)))
+
+
+@query(_K1 + """
+SELECT 'node' AS entity, id AS a, '' AS b FROM (SELECT id FROM o UNION SELECT id FROM n UNION SELECT DISTINCT src FROM holds EXCEPT (SELECT id FROM nop WHERE op = 'DELETE' AND id NOT IN (SELECT id FROM held)))
+UNION ALL SELECT 'edge', src, dst FROM (SELECT src, dst FROM olde UNION SELECT src, dst FROM eop WHERE op = 'CREATE' AND src IN (SELECT id FROM there) AND dst IN (SELECT id FROM there) EXCEPT SELECT src, dst FROM eop WHERE op = 'DELETE')
+WHERE src NOT IN (SELECT id FROM nop WHERE op = 'DELETE' AND id NOT IN (SELECT id FROM held)) AND dst NOT IN (SELECT id FROM nop WHERE op = 'DELETE' AND id NOT IN (SELECT id FROM held))""")
+def k2_graph_after_delta(spark, sf):
+    """Nodes and edges (without containment) after the delta."""
+    nodes, edges, _ = _applied(spark, sf)
+    ties = edges.where("kind = 'IMPORTS'").select(F.lit("edge").alias("entity"), F.col("src").alias("a"), F.col("dst").alias("b"))
+    return nodes.select(F.lit("node").alias("entity"), F.col("id").alias("a"), F.lit("").alias("b")).union(ties)
 
 
 @query("""SELECT e.kind, e.src, e.dst FROM edges e WHERE e.src IN (SELECT id FROM parts WHERE p_partkey % 3 <> 0) AND e.dst IN (SELECT id FROM parts WHERE p_partkey % 3 <> 0)""")
@@ -233,18 +262,19 @@ def a1_merge_facts(spark, sf):
     return snapshot.merge_facts(facts, ["id"], ["kind"]).select("id", "kind", "content_hash")
 
 
-# Contracts: every page is a provided route with its digits as a placeholder, and a consumed raw path.
+# Contracts: every page consumes its raw path; it provides the path too, with its number as a placeholder on every other page.
 _C = "(SELECT page_id AS cid, repo_id, branch, '/' || array_to_string(list_filter(string_split(path, '/'), lambda s: s <> ''), '/') AS route FROM contracts)"
-_P = r"(SELECT page_id AS pid, repo_id, branch, '/' || array_to_string(list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: CASE WHEN regexp_matches(s, '[0-9]') THEN '*' ELSE s END), '/') AS route FROM contracts WHERE page_id % 10 = 0)"
+_P = r"(SELECT page_id AS pid, repo_id, branch, '/' || array_to_string(list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: CASE WHEN page_id % 2 = 0 AND regexp_matches(s, '[0-9]') THEN '*' ELSE s END), '/') AS route FROM contracts)"
 
 
 def _contracts(spark, sf):
     c = stored(bridge.view(spark, sf, "contracts"))
-    base = c.withColumn("mechanism", F.lit("rest"))
-    consumes = base.select(F.col("page_id").alias("cid"), "repo_id", "branch", "mechanism", text.normalize_route(F.col("path")).alias("route"))
-    raw = F.regexp_replace("path", "[^/]*[0-9][^/]*", "{id}")
-    provides = base.where("page_id % 10 = 0").select(F.col("page_id").alias("pid"), "repo_id", "branch", "mechanism", text.normalize_route(raw).alias("route"))
-    return consumes, provides
+    none = F.lit(None).cast("string")
+    base = c.select("page_id", "repo_id", "branch", "path", F.lit("rest").alias("mechanism"), none.alias("method"), none.alias("service"), none.alias("http_method"))
+    consumes = base.withColumn("cid", F.col("page_id")).withColumn("route", text.normalize_route(F.col("path")))
+    raw = F.when(F.col("page_id") % 2 == 0, F.regexp_replace("path", "[^/]*[0-9][^/]*", "{id}")).otherwise(F.col("path"))
+    provides = base.withColumn("pid", F.col("page_id")).withColumn("route", text.normalize_route(raw))
+    return consumes.drop("page_id", "path"), provides.drop("page_id", "path")
 
 
 _MATCH = f"""SELECT DISTINCT c.cid, p.pid, c.repo_id AS c_repo, c.branch AS c_branch, p.repo_id AS p_repo, p.branch AS p_branch FROM {_C} c JOIN {_P} p
@@ -255,34 +285,36 @@ WHERE c.repo_id <> p.repo_id OR c.branch <> p.branch"""
 
 @query(_MATCH)
 def j1_route_join(spark, sf):
-    consumes, provides = _contracts(spark, sf)
-    empty = lambda df: df.withColumn("method", F.lit(None).cast("string")).withColumn("service", F.lit(None).cast("string"))
-    return links.service_matches(empty(consumes), empty(provides))
+    return links.service_matches(*_contracts(spark, sf))
 
 
 @query(f"SELECT c.cid, c.route FROM {_C} c WHERE c.cid NOT IN (SELECT cid FROM ({_MATCH}))")
 def j9_unmatched_consumes(spark, sf):
     consumes, provides = _contracts(spark, sf)
-    empty = lambda df: df.withColumn("method", F.lit(None).cast("string")).withColumn("service", F.lit(None).cast("string"))
-    return consumes.join(links.service_matches(empty(consumes), empty(provides)), "cid", "left_anti").select("cid", "route")
+    return consumes.join(links.service_matches(consumes, provides), "cid", "left_anti").select("cid", "route")
 
 
 @query(f"""WITH m AS ({_MATCH}) SELECT cid, pid, CASE WHEN count(DISTINCT p_repo) OVER (PARTITION BY cid) > 1 THEN 'low' ELSE 'medium' END AS confidence FROM m""")
 def a7_link_confidence(spark, sf):
-    return links.confidence(j1_route_join(spark, sf).withColumn("restricted", F.lit(False))).select("cid", "pid", "confidence")
+    consumes, provides = _contracts(spark, sf)
+    return links.matched_services(consumes.withColumn("target_hint", F.lit(None).cast("string")), provides, _pairs(spark, "prefix")).select("cid", "pid", "confidence")
 
 
-@query("""SELECT c.page_id AS cid, p.page_id AS pid FROM pages c JOIN pages p ON c.page_id % 50 = p.page_id % 50 AND p.page_id % 4 = 0
+def _pairs(spark, key: str):
+    return spark.createDataFrame([], f"{key} string, value string")
+
+
+@query("""SELECT c.page_id AS cid, p.page_id AS pid FROM pages c JOIN pages p ON c.page_id % 50 = p.page_id % 50
 WHERE (CASE c.page_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'Cart' ELSE 'shop.Cart' END) IN ('', CASE p.page_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'Cart' ELSE 'shop.Cart' END)
 OR p.page_id % 3 = 0 OR (c.page_id % 3 = 1 AND p.page_id % 3 = 2) OR (c.page_id % 3 = 2 AND p.page_id % 3 = 1)""")
 def j3_rpc_join(spark, sf):
     service = F.when(F.col("page_id") % 3 == 0, "").when(F.col("page_id") % 3 == 1, "Cart").otherwise("shop.Cart")
     p = bridge.tables(spark, sf)["pages"].select("page_id", (F.col("page_id") % 50).cast("string").alias("method"), service.alias("service"))
-    return joins.rpc_matches(p.withColumnRenamed("page_id", "cid"), p.where("page_id % 4 = 0").withColumnRenamed("page_id", "pid"))
+    return joins.rpc_matches(p.withColumnRenamed("page_id", "cid"), p.withColumnRenamed("page_id", "pid"))
 
 
 @query(r"""WITH pre AS (SELECT DISTINCT regexp_extract(url, '^([a-z]+://[^/?#]+/[^/?#]*)', 1) AS prefix FROM pages WHERE page_id % 3 = 0 UNION SELECT DISTINCT regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) FROM pages WHERE page_id % 2 = 0)
-SELECT p.page_id, arg_max(x.prefix, length(x.prefix)) AS best FROM pages p LEFT JOIN pre x ON starts_with(p.url, x.prefix) AND x.prefix <> '' AND (substr(p.url, length(x.prefix) + 1, 1) IN ('', '/', '?', '#', ':') OR x.prefix LIKE '%/') GROUP BY p.page_id""")
+SELECT p.page_id, arg_max(x.prefix, length(x.prefix)) AS best FROM pages p LEFT JOIN pre x ON starts_with(p.url, x.prefix) AND x.prefix <> '' AND substr(p.url, length(x.prefix) + 1, 1) IN ('', '/', '?', '#', ':') GROUP BY p.page_id""")
 def j7_longest_prefix(spark, sf):
     p = bridge.tables(spark, sf)["pages"]
     one = p.where("page_id % 3 = 0").select(F.regexp_extract("url", r"^([a-z]+://[^/?#]+/[^/?#]*)", 1).alias("prefix"))
@@ -291,13 +323,13 @@ def j7_longest_prefix(spark, sf):
     return joins.longest_prefix(p.select("page_id", "url"), "url", pre, "best").select("page_id", "best")
 
 
-_SPANS = "(SELECT o_orderkey % 100 AS file, CAST(o_orderkey AS STRING) AS id, CAST(o_custkey % 300 AS INT) AS s, CAST(o_custkey % 300 + o_orderkey % 17 AS INT) AS e, o_orderkey AS seq FROM orders WHERE o_orderkey % 5 = 0)"
+_SPANS = "(SELECT o_orderkey % 100 AS file, CAST(o_orderkey AS STRING) AS id, CAST(o_custkey % 300 AS INT) AS s, CAST(o_custkey % 300 + o_orderkey % 17 AS INT) AS e, o_orderkey AS seq FROM orders)"
 _POINTS = "(SELECT DISTINCT l_orderkey % 100 AS file, CAST(l_partkey % 320 AS INT) AS line FROM lineitem)"
 
 
 def _spans(spark, sf):
     t = bridge.tables(spark, sf)
-    o = t["orders"].where("o_orderkey % 5 = 0").selectExpr("o_orderkey % 100 AS file", "CAST(o_orderkey AS STRING) AS id", "CAST(o_custkey % 300 AS INT) AS start", "CAST(o_custkey % 300 + o_orderkey % 17 AS INT) AS end", "o_orderkey AS seq")
+    o = t["orders"].selectExpr("o_orderkey % 100 AS file", "CAST(o_orderkey AS STRING) AS id", "CAST(o_custkey % 300 AS INT) AS start", "CAST(o_custkey % 300 + o_orderkey % 17 AS INT) AS end", "o_orderkey AS seq")
     return t["lineitem"].selectExpr("l_orderkey % 100 AS file", "CAST(l_partkey % 320 AS INT) AS line").distinct(), o
 
 
@@ -315,18 +347,39 @@ def j16_following(spark, sf):
 count(*) FILTER (event_id % 2 = 0) AS publishers, count(*) FILTER (event_id % 2 = 1) AS subscribers FROM events GROUP BY event_type""")
 def j10_topic_hubs(spark, sf):
     e = bridge.tables(spark, sf)["events"]
-    direction = F.when(F.col("event_id") % 2 == 0, "publish").otherwise("consume")
+    direction = F.when(F.col("event_id") % 2 == 0, "publish").otherwise("subscribe")
     channels = e.select(F.col("event_type").alias("channel"), F.lit("sqs").alias("broker"), direction.alias("direction"), F.col("user_id").cast("string").alias("node_id"))
     brokers = e.select(F.upper("event_type").alias("key"), F.lit("kafka").alias("value")).where("lower(key) < 'm'").distinct()
-    return links.topic_hubs(channels, brokers)[0]
+    return links.topic_hubs(channels, brokers)[0].select("id", "broker", "channel", "publishers", "subscribers")
 
 
-@query(r"""SELECT 'READS_FROM' AS kind, CAST(page_id AS STRING) AS src, sha256('resource::api::' || lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1))) AS dst FROM pages""")
-def j12_resource_links(spark, sf):
+# References of each page to its address: bare, by a variable that evidence names, by one that none names, by a template,
+# and by a name that the registry gives another class.
+_REF = r"""(SELECT page_id, page_id % 5 AS k, lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)) AS host, url FROM pages)"""
+
+
+@query(f"""SELECT page_id, CASE k WHEN 4 THEN 'bucket' ELSE 'api' END AS resource_type, CASE k WHEN 0 THEN host WHEN 1 THEN host WHEN 2 THEN 'env:NONE_' || page_id ELSE 'held-' || page_id END AS identity,
+CASE k WHEN 0 THEN 'high' WHEN 1 THEN 'medium' WHEN 2 THEN 'low' ELSE 'high' END AS confidence,
+sha256('resource::' || CASE k WHEN 4 THEN 'bucket' ELSE 'api' END || '::' || lower(CASE k WHEN 0 THEN host WHEN 1 THEN host WHEN 2 THEN 'env:NONE_' || page_id ELSE 'held-' || page_id END)) AS id FROM {_REF} WHERE k <> 3""")
+def j12_resource_identities(spark, sf):
+    return _resolved(spark, sf)[0]
+
+
+def _resolved(spark, sf):
     p = bridge.tables(spark, sf)["pages"]
-    refs = p.select(F.lit("api").alias("resource_type"), F.lit("http").alias("mechanism"), F.lit("read").alias("access"), F.when(F.col("page_id") % 2 == 0, F.col("url")).otherwise(F.concat(F.lit("${P_"), F.col("page_id").cast("string"), F.lit("}"))).alias("raw_target"), F.col("page_id").cast("string").alias("node_id"))
-    env = p.select(F.concat(F.lit("P_"), F.col("page_id").cast("string")).alias("key"), F.col("url").alias("value"), F.lit(1).alias("seq"))
-    return links.resource_links(refs, p.select(F.lit("none").alias("key"), F.lit("none").alias("value")).limit(1), env)[1]
+    k, n = F.col("page_id") % 5, F.col("page_id").cast("string")
+    target = F.when(k == 0, F.col("url")).when(k == 1, F.concat(F.lit("env:p_"), n)).when(k == 2, F.concat(F.lit("env:NONE_"), n)).when(k == 3, F.lit("https://${HOST}/x")).otherwise(F.concat(F.lit("Named-"), n))
+    refs = p.select("page_id", F.lit("h").alias("repo_id"), F.lit("main").alias("branch"), F.lit("api").alias("resource_type"), F.lit("http").alias("mechanism"), F.lit("read").alias("access"), target.alias("raw_target"), n.alias("node_id"), F.col("page_id").alias("seq"))
+    registry = p.select(F.concat(F.lit("named-"), n).alias("key"), F.concat(F.lit("bucket: held-"), n).alias("value"))
+    env = p.select(F.lit("h").alias("repo_id"), F.lit("main").alias("branch"), F.lit(".env").alias("file"), F.concat(F.lit("P_"), n, F.lit("="), F.col("url")).alias("detail"), F.col("url").alias("value"), F.lit(2).alias("seq"))
+    blank = env.withColumn("value", F.lit("${LATER}")).withColumn("seq", F.lit(1))
+    got = links.resolve_resources(refs, registry, env.union(blank))
+    return got.select("page_id", "resource_type", "identity", "confidence", links.resource_id(F.col("resource_type"), F.col("identity")).alias("id")), (refs, registry, env)
+
+
+@query(f"""SELECT DISTINCT 'READS_FROM' AS kind, CAST(page_id AS STRING) AS src, sha256('resource::' || CASE k WHEN 4 THEN 'bucket' ELSE 'api' END || '::' || lower(CASE k WHEN 0 THEN host WHEN 1 THEN host WHEN 2 THEN 'env:NONE_' || page_id ELSE 'held-' || page_id END)) AS dst FROM {_REF} WHERE k <> 3""")
+def j12_resource_links(spark, sf):
+    return links.resource_links(*_resolved(spark, sf)[1])[1]
 
 
 @query("""WITH o AS (SELECT 'EDGE' AS entity, src || dst AS key, kind AS state FROM deps WHERE kind <> 'INVOKES'), n AS (SELECT 'EDGE' AS entity, src || dst AS key, kind AS state FROM deps WHERE kind <> 'QUERIES'),
@@ -352,7 +405,7 @@ def f12_quoted_strings(spark, sf):
     return bridge.tables(spark, sf)["pages"].select("page_id", q.alias("q")).select("page_id", F.size("q").cast("long").alias("n_quoted"), F.aggregate("q", F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("quoted_chars"))
 
 
-@query(r"""SELECT page_id, array_to_string(list_transform(regexp_extract_all(html, '(https?://[^\s"''`<>()\[\]{},]+)'), lambda u: regexp_replace(u, '[.;:]+$', '')), ' ') AS urls FROM pages""")
+@query(r"""SELECT page_id, array_to_string(list_transform(regexp_extract_all(html, '(https?://[^\s"''`<>)\]},]+)'), lambda u: regexp_replace(u, '[.;:]+$', '')), ' ') AS urls FROM pages""")
 def f19_find_urls(spark, sf):
     return bridge.tables(spark, sf)["pages"].select("page_id", F.array_join(text.find_urls(F.col("html")), " ").alias("urls"))
 
@@ -377,9 +430,9 @@ def s7_file_changes(spark, sf):
     return c.select(F.explode(both).alias("status")).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""RECURSIVE WITH r(id, depth) AS (SELECT id, 0 FROM parts WHERE p_partkey = 1
-  UNION SELECT e.src, r.depth + 1 FROM r JOIN dep e ON e.dst = r.id WHERE r.depth < 2)
-SELECT id, min(depth) AS depth FROM r WHERE id <> {ROOT} GROUP BY id""")
+@query(f"""RECURSIVE WITH d(id, depth) AS (SELECT id, 0 FROM parts WHERE p_partkey = 1 UNION SELECT e.src, d.depth + 1 FROM d JOIN dep e ON e.dst = d.id WHERE d.depth < 2),
+  c(id, depth) AS (SELECT id, 0 FROM parts WHERE p_partkey = 1 UNION SELECT e.src, c.depth + 1 FROM c JOIN calls e ON e.dst = c.id WHERE c.depth < 2)
+SELECT id, min(depth) AS depth FROM (SELECT * FROM d UNION ALL SELECT * FROM c) WHERE id <> {ROOT} GROUP BY id""")
 def g15_change_impact(spark, sf):
     return _api(spark, sf, max_results=10_000_000).get_change_impact(_root_id(spark, sf), 2).rows
 
@@ -395,15 +448,28 @@ def g20_architecture_context(spark, sf):
     return _api(spark, sf, max_results=10_000_000).get_architecture_context(_root_id(spark, sf), 1).rows.select("id", "kind", "name")
 
 
-@query("""WITH l AS (SELECT CAST(l_partkey AS STRING) AS src, CAST(l_suppkey AS STRING) AS dst, l_linestatus AS mechanism, CASE l_returnflag WHEN 'A' THEN 'low' WHEN 'N' THEN 'medium' ELSE 'high' END AS confidence, l_returnflag || l_linestatus AS pair FROM lineitem),
-b AS (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY CASE confidence WHEN 'low' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END DESC, mechanism DESC) AS i FROM l)
-SELECT b.src, b.dst, b.mechanism, b.confidence, p.pairs FROM b JOIN (SELECT src, dst, string_agg(DISTINCT pair, ',' ORDER BY pair) AS pairs FROM l GROUP BY src, dst) p ON b.src = p.src AND b.dst = p.dst WHERE b.i = 1""")
+_LINKS = """(SELECT CAST(l_partkey AS STRING) AS src, CAST(l_suppkey AS STRING) AS dst, CASE l_returnflag WHEN 'A' THEN 'low' WHEN 'N' THEN 'medium' ELSE 'high' END AS confidence,
+l_returnflag || l_linestatus AS pair, row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS seq FROM lineitem)"""
+
+
+@query(f"""WITH l AS {_LINKS}, b AS (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY CASE confidence WHEN 'low' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END DESC, seq) AS i FROM l),
+e AS (SELECT src, dst, string_agg(pair, ',' ORDER BY seq) AS evidence FROM (SELECT src, dst, pair, min(seq) AS seq FROM l GROUP BY src, dst, pair) GROUP BY src, dst)
+SELECT b.src, b.dst, b.confidence, b.seq AS first_seq, p.pairs, e.evidence FROM b JOIN (SELECT src, dst, string_agg(DISTINCT pair, ',' ORDER BY pair) AS pairs FROM l GROUP BY src, dst) p ON b.src = p.src AND b.dst = p.dst
+JOIN e ON b.src = e.src AND b.dst = e.dst WHERE b.i = 1""")
 def a4_merge_links(spark, sf):
+    """Attributes of the best link (the first of equals), sorted branch pairs, evidence in order of arrival."""
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("l_partkey", "l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
     rank = F.when(F.col("l_returnflag") == "A", "low").when(F.col("l_returnflag") == "N", "medium").otherwise("high")
-    l = bridge.tables(spark, sf)["lineitem"].select(  # noqa: E741
-        F.lit("CALLS_API").alias("kind"), F.col("l_partkey").cast("string").alias("src"), F.col("l_suppkey").cast("string").alias("dst"), F.col("l_linestatus").alias("mechanism"), rank.alias("confidence"), F.concat("l_returnflag", "l_linestatus").alias("pair"),
+    l = bridge.tables(spark, sf)["lineitem"].withColumn("seq", F.row_number().over(order)).withColumn("pair", F.concat("l_returnflag", "l_linestatus"))  # noqa: E741
+    found = l.select(
+        F.lit("CALLS_API").alias("kind"), F.col("l_partkey").cast("string").alias("src"), F.col("l_suppkey").cast("string").alias("dst"),
+        F.create_map(F.lit("confidence"), rank, F.lit("seq"), F.col("seq").cast("string")).alias("properties"), F.array(F.struct(F.lit("pair").alias("kind"), F.col("pair").alias("detail"))).alias("evidence"),
+        F.col("pair").alias("branch_pair"), F.col("seq").alias("arrival"),
     )
-    return links.merge_links(l).select("src", "dst", "mechanism", "confidence", F.array_join("branch_pairs", ",").alias("pairs"))
+    out = links.merge_links(found)
+    return out.select("src", "dst", F.col("properties.confidence").alias("confidence"), F.col("properties.seq").cast("long").alias("first_seq"), F.array_join("branch_pairs", ",").alias("pairs"), F.array_join(F.transform("evidence", lambda e: e["detail"]), ",").alias("evidence"))
 
 
 @query("""SELECT c.branch, c.kind, count(*) AS n FROM (SELECT CASE WHEN n.id IN (SELECT dst FROM holds) THEN 'kept' ELSE 'gone' END AS branch, n.kind FROM nodes n WHERE n.kind = 'FUNCTION'
@@ -417,30 +483,4 @@ def k5_guarded_delete(spark, sf):
     return one(doomed.join(kept, "id", "left_semi"), "kept").union(one(gone, "gone")).union(one(at, "edge")).groupBy("branch", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-_SOURCE = """import lib_{k}
-class Part{k}:
-    def price{k}(self):
-        return lookup{k}(self)
-@app.get('/parts/{id}/p{k}')
-requests.post('https://svc.local/orders/{k}')"""
-
-
-def _files(spark, sf):
-    k = F.col("p_partkey").cast("string")
-    content = F.regexp_replace(F.lit(_SOURCE), F.lit(r"\{k\}"), k)
-    return bridge.tables(spark, sf)["part"].select(F.col("p_brand").alias("repo_id"), F.lit("main").alias("branch"), F.concat(F.lit("src/m"), k, F.lit(".py")).alias("path"), F.lit("python").alias("language"), content.alias("content"))
-
-
-@query("""SELECT p.p_brand AS repo_id, 'src/m' || p.p_partkey || '.py' AS path, f.fact, CAST(f.line AS INT) AS line, f.detail || replace(f.value, '{k}', CAST(p.p_partkey AS STRING)) AS value FROM part p,
-(VALUES ('import', 1, '', 'lib_{k}'), ('symbol', 2, 'CLASS ', 'Part{k}'), ('symbol', 3, 'METHOD ', 'price{k}'), ('call', 4, '', 'lookup{k}'), ('call', 5, '', 'get'), ('call', 6, '', 'post'),
-('provides', 5, 'GET ', '/parts/*/p{k}'), ('consumes', 6, 'POST ', '/orders/{k}')) f(fact, line, detail, value)""")
-def x1_extracted_facts(spark, sf):
-    """Symbols, imports, calls and routes of one small source file for each part."""
-    from graphloom.extract import rules
-
-    files = _files(spark, sf)
-    row = lambda df, fact, path, line, value: df.select("repo_id", F.col(path).alias("path"), F.lit(fact).alias("fact"), F.col(line).alias("line"), value.alias("value"))
-    route = F.concat_ws(" ", "http_method", "route")
-    out = row(rules.symbols(files), "symbol", "path", "start", F.concat_ws(" ", "kind", "name"))
-    out = out.union(row(rules.imports(files), "import", "path", "line", F.col("target"))).union(row(rules.calls(files), "call", "path", "line", F.col("callee")))
-    return out.union(row(rules.provides(files), "provides", "file", "line", route)).union(row(rules.consumes(files), "consumes", "file", "line", route))
+from graphloom import case_queries  # noqa: E402,F401  the queries of extraction, index run and link pass

@@ -6,6 +6,7 @@ import json
 import tomllib
 from dataclasses import asdict, dataclass, field
 from pathlib import Path
+from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,6 +55,27 @@ class Workspace:
         Path(path).parent.mkdir(parents=True, exist_ok=True)
         Path(path).write_text(json.dumps(asdict(self), indent=1))
 
+    def find(self, repo: str) -> Repository:
+        for r in self.repositories:
+            if r.id == repo:
+                return r
+        raise ValueError(f"no repository {repo}")
+
+    def add(self, repo: Repository) -> Workspace:
+        """With one more repository; an id that is taken or an empty address is an error and changes nothing."""
+        return Workspace([*self.repositories, repo], self.default_branches, self.links).validate()
+
+    def replace(self, repo: str, new: Repository) -> Workspace:
+        self.find(repo)
+        return Workspace([new if r.id == repo else r for r in self.repositories], self.default_branches, self.links).validate()
+
+    def remove(self, repo: str) -> Workspace:
+        self.find(repo)
+        return Workspace([r for r in self.repositories if r.id != repo], self.default_branches, self.links).validate()
+
+    def with_default_branches(self, branches: list[str]) -> Workspace:
+        return Workspace(self.repositories, branches, self.links).validate()
+
     def selected(self, repo: str | None = None) -> list[Repository]:
         if repo is None:
             return [r for r in self.repositories if r.enabled]
@@ -74,6 +96,34 @@ class Workspace:
         return spark.createDataFrame(sorted(self.links.get(name, {}).items()), "key string, value string")
 
 
+class DeploymentImporter(Protocol):
+    """A source of deployment records."""
+
+    def load(self) -> DataFrame: ...
+
+
+@dataclass
+class JsonDeployments:
+    """Records in a JSON array; a record that doesn't fit the schema is an error."""
+
+    spark: SparkSession
+    path: str
+
+    def load(self) -> DataFrame:
+        return read_deployments(self.spark, self.path)
+
+
+@dataclass
+class ListedDeployments:
+    """Records given as dictionaries."""
+
+    spark: SparkSession
+    records: list[dict]
+
+    def load(self) -> DataFrame:
+        return self.spark.createDataFrame([tuple(r.get(f) for f in DEPLOYMENT.fieldNames()) for r in self.records], DEPLOYMENT)
+
+
 def read_deployments(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(DEPLOYMENT).json(path, multiLine=True, mode="FAILFAST")
 
@@ -92,11 +142,6 @@ def resolve_heads(refs: DataFrame, branches: DataFrame) -> DataFrame:
     return branches.join(r.groupBy("repo_id", "branch").agg(F.min_by("sha", "o").alias("sha")), ["repo_id", "branch"], "left")
 
 
-def save_partition(df: DataFrame, path: str, repo: str, branch: str) -> None:
-    """Replace one repository and branch of a stored table; a null tells nothing was stored before."""
-    df.withColumn("repo_id", F.lit(repo)).withColumn("branch", F.lit(branch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repo_id", "branch").parquet(path)
-
-
 def replace_files(stored: DataFrame, fresh: DataFrame, removed: DataFrame) -> DataFrame:
     """Contract rows after an incremental pass: rows of removed and of fresh files go, fresh rows come."""
     gone = removed.select(F.col("path").alias("file")).union(fresh.select("file")).distinct()
