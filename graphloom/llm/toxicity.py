@@ -6,18 +6,23 @@ anchored at the start of a word (all terms) and at its end (whole words). Where
 heaviest counts. Exception phrases are matched by the same automaton, and terms inside one don't count.
 
 The lexicon is learned: whole words and word beginnings of four to eight letters whose document frequency among toxic
-labels is many times that among the others, with a log-odds weight. The score is a logistic function of the weight found
+labels is many times that among the others, with a log-odds weight; the strongest MAX_TERMS by the G statistic count.
+Exceptions are given, or learned: a word that meets a term, with the word before or after it, where that phrase occurs in
+several documents that are not toxic and in no toxic one. The score is a logistic function of the weight found
 and of the text's length, fitted on the same rows. Labels are read for at most FIT_ROWS documents, chosen by a hash of
 the id (a documented bound of the fit); scoring reads every text whole.
 
-Nulls and edge cases: a null text scores as the empty one; labels that are null or whose document is missing are left
-out; with no labels, or labels of one class, every score is the base rate's (0 without any); repeated rows are scored
-one by one; an empty table gives an empty result; only doc_id and text are read, and doc_id is no input of the score.
+Nulls and edge cases: a null text scores as the empty one; labels that are null or whose document is missing, and all
+labels of a document that contradict each other, are left out; of rows that share a labelled doc_id the smallest text is
+learned from; with no labels, or labels of one class, every score is the base rate's (0.02 without any); repeated rows are
+scored one by one; an empty table gives an empty result; only doc_id and text are read, and doc_id is no input of the
+score; scored rows keep all columns, whatever their names, and the score's name can be chosen.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -29,14 +34,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast
+from .common import free_name, maybe_broadcast
 
 FIT_ROWS = 20_000
 MAX_TERMS = 5_000
 PREFIXES = (4, 5, 6, 7, 8)
 #: Least support among toxic documents, ratio of the two frequencies and G statistic of a term.
 MIN_DOCS, MIN_RATIO, MIN_G = 3, 20.0, 18.0
-EXCEPTIONS = ("trash can", "trash bin", "clown fish", "idiot proof", "scum of the pond", "disgusting beetle")
+#: Documents that are not toxic in which an exception phrase occurs at least, and how many phrases are learned at most.
+MIN_CLEAN, MAX_EXCEPTIONS = 3, 2_000
 
 #: Look-alikes, each with the Latin letters they fold to.
 HOMOGLYPHS = {
@@ -46,7 +52,7 @@ HOMOGLYPHS = {
 }
 DIGITS = {"0": "o", "1": "i", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "i", "€": "e", "£": "i", "l": "i"}
 #: Characters that are written inside a word to hide it and vanish: soft hyphen, joiners, zero-width space, marks.
-VANISH = ["­", "​", "‌", "‍", "⁠", "﻿"]
+VANISH = ("\u00ad", "\u200b", "\u200c", "\u200d", "\u2060", "\ufeff")
 
 
 class _Fold(dict):
@@ -114,10 +120,24 @@ def weigh(folded: str, automaton: ahocorasick.Automaton | None) -> float:
         elif w > best.get(start, 0.0):
             best[start] = w
     if covered:
-        best = {s: w for s, w in best.items() if not any(a <= s <= b for a, b in covered)}
+        starts, ends = _joined(covered)
+        best = {s: w for s, w in best.items() if not (i := bisect_right(starts, s)) or ends[i - 1] < s}
     return sum(best.values())
 
 
+def _joined(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the spans, overlapping ones joined, in order."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for a, b in sorted(spans):
+        if starts and a <= ends[-1] + 1:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
 def features(folded: str) -> set[str]:
     """Anchored patterns of a text: whole words and word beginnings."""
     out: set[str] = set()
@@ -147,13 +167,6 @@ def _counted(pos: Counter, neg: Counter) -> pa.RecordBatch:
     )
 
 
-def _g(p: int, n: int, total_p: int, total_n: int) -> float:
-    """G statistic of a term's two frequencies against equal ones."""
-    share = total_p / (total_p + total_n)
-    ep, en = (p + n) * share, (p + n) * (1 - share)
-    return 2 * ((p * math.log(p / ep) if p else 0) + (n * math.log(n / en) if n else 0))
-
-
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
     """Ridge logistic regression by Newton steps; the intercept is free."""
     x = np.column_stack([np.ones(len(x)), x])
@@ -169,26 +182,61 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
 
 
 def sample_labels(labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
-    """At most ``rows`` labels outside the held-out fifth, in the order of a hash of the id."""
+    """At most ``rows`` labelled documents outside the held-out fifth, in the order of a hash of the id; contradictions are left out."""
     known = labels.where("doc_id is not null and toxic is not null and crc32(cast(doc_id as string)) % 5 <> 0")
-    return known.select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(rows)
+    one = known.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).where("toxic = most")
+    return one.select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+
+
+def phrases(folded: str, automaton: ahocorasick.Automaton) -> set[str]:
+    """Each word that meets a term, with the word before it and with the one after it."""
+    words = folded.split()
+    at = np.cumsum([1] + [len(w) + 1 for w in words])
+    plain = f" {' '.join(words)} "
+    out: set[str] = set()
+    for end, (n, w) in automaton.iter(plain):
+        i = int(np.searchsorted(at, end - n + 2, side="right")) - 1  # a term begins with the blank before its word
+        if w > 0 and i < len(words):
+            out.update(" ".join(words[j : j + 2]) for j in (i - 1, i) if 0 <= j and j + 2 <= len(words))
+    return out
+
+
+def _phrase_counts(model: Model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = model.automaton()
+        pos: Counter[str] = Counter()
+        neg: Counter[str] = Counter()
+        for b in batches:
+            for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist()):
+                (pos if toxic else neg).update(phrases(fold(text or ""), automaton) if automaton else ())
+        yield _counted(pos, neg)
+
+    return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = EXCEPTIONS, rows: int = FIT_ROWS) -> Model:
-    """Learn lexicon and calibration from at most ``rows`` labelled documents."""
+COUNTS = "term string, pos long, neg long"
+
+
+def fit(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = (), rows: int = FIT_ROWS) -> Model:
+    """Learn lexicon, exceptions and calibration from at most ``rows`` labelled documents; given exceptions are kept."""
     chosen = maybe_broadcast(sample_labels(labels, rows), rows, 24)
-    train = docs.select("doc_id", "text").join(chosen, "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
+    train = docs.select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").cast("int").alias("toxic")).select("text", "toxic")
     sums = train.agg(F.sum("toxic"), F.count(F.lit(1))).first()
     total_p = int(sums[0] or 0)
     total_n = int(sums[1]) - total_p
     if not total_p or not total_n:
         rate = (total_p + 0.5) / (total_p + total_n + 1) if total_p + total_n else 0.02
         return Model({}, exceptions, math.log(rate / (1 - rate)))
-    counts = train.mapInArrow(_count, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    summed = lambda run: train.mapInArrow(run, COUNTS).groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     ratio = F.lit(float(total_n) / total_p) * (F.col("pos") + 0.5) / (F.col("neg") + 0.5)
-    likely = counts.where((F.col("pos") >= MIN_DOCS) & (ratio >= MIN_RATIO)).orderBy(F.desc("pos"), "neg", "term").limit(4 * MAX_TERMS)
-    scored = [(_g(p, n, total_p, total_n), t, math.log((p + 0.5) / (total_p + 1)) - math.log((n + 0.5) / (total_n + 1))) for t, p, n in likely.collect()]
-    terms = {t: w for g, t, w in sorted(scored, reverse=True)[:MAX_TERMS] if g >= MIN_G}
+    share = total_p / (total_p + total_n)
+    both = F.col("pos") + F.col("neg")
+    part = lambda k, s: F.when(F.col(k) > 0, F.col(k) * F.log(F.col(k) / (both * s))).otherwise(0.0)
+    g = 2 * (part("pos", share) + part("neg", 1 - share))
+    best = summed(_count).where((F.col("pos") >= MIN_DOCS) & (ratio >= MIN_RATIO)).withColumn("g", g).where(F.col("g") >= MIN_G).orderBy(F.desc("g"), "term").limit(MAX_TERMS)
+    terms = {r.term: math.log((r.pos + 0.5) / (total_p + 1)) - math.log((r.neg + 0.5) / (total_n + 1)) for r in best.collect()}
+    clean = summed(_phrase_counts(Model(terms))).where((F.col("pos") == 0) & (F.col("neg") >= MIN_CLEAN)).orderBy(F.desc("neg"), "term").limit(MAX_EXCEPTIONS)
+    exceptions = (*exceptions, *sorted(r.term for r in clean.collect()))
     model = Model(terms, exceptions)
     got = train.mapInArrow(_weights(model), "w double, n long, toxic int").toPandas()  # at most ``rows`` rows
     x = np.column_stack([np.log1p(got["w"]), np.log1p(got["n"])])
@@ -207,21 +255,29 @@ def _weights(model: Model):
     return run
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with a column ``score`` between 0 and 1; needs a column ``text``."""
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+def score(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
+    """``docs`` with a column ``out`` between 0 and 1, which ``docs`` must not have; needs a column ``text``."""
+    if out.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"there is a column {out} already")
+    fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = model.automaton()
         for b in batches:
-            out = np.empty(b.num_rows)
+            got = np.empty(b.num_rows)
             for i, t in enumerate(b.column("text")):
                 folded = fold(t.as_py() or "")
                 z = model.b0 + model.b1 * math.log1p(weigh(folded, automaton)) + model.b2 * math.log1p(folded.count(" "))
-                out[i] = 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], names=[*b.schema.names, "score"])
+                got[i] = 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got)], names=[*b.schema.names, out])
+
+    return docs.mapInArrow(run, f"{fields}, `{out}` double")
+
 
-    return docs.mapInArrow(run, f"{fields}, score double")
+def without_toxic(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
+    """``docs`` without the rows that score ``limit`` or more; all columns kept."""
+    name = free_name(docs, "__toxicity")
+    return score(docs, model, name).where(F.col(name) < limit).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
