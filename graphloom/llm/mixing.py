@@ -6,8 +6,8 @@ lies below the threshold is taken by a filter: nothing is sorted. Thresholds are
 never changes: a larger budget takes all that a smaller one takes.
 
 A source whose target exceeds its size is repeated whole, and the threshold settles the rest. The boundary documents
-(equal hashes share one fate) give just the words still missing, so that a source meets its target within a word; where
-whole documents are wanted, they are taken if that brings the source nearer to its target.
+(equal hashes share one fate) give just the words still missing, so that a source meets its target within a word for each of
+them; where whole documents are wanted, they are taken if that brings the source nearer to its target.
 
 Nulls and edge cases: a null text has size 0; a null source is a source of its own, last in order; rows with the same
 id share one hash and one fate; an empty table gives an empty result; documents of size 0 take 0 words.
@@ -137,10 +137,27 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeat: int =
     return out.select("doc_id", "source", "size", "source_size", "target", (copies * F.col("size") + part).cast("long").alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeat: int = 3) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it whole; boundary documents where that is nearer to the target."""
+def first_words(text: Column, n: Column) -> Column:
+    """The first words of a text with the white space between them."""
+    pieces = F.regexp_extract_all(text, F.lit(f"([{WS}]*+[^{WS}]++)"), F.lit(1))
+    return F.array_join(F.slice(pieces, F.lit(1), n.cast("int")), "")
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeat: int = 3, whole: bool = True) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it.
+
+    ``whole``: boundary documents come whole where that is nearer to the target. Otherwise they come cut to the words that
+    are missing, so that the words of a document's rows are what ``mix`` reports as taken. All columns are kept as they
+    are, whatever their names; only a cut text differs.
+    """
     _, plan = plan_mix(docs, weights, max_repeat)
-    rows = docs.withColumn("h", mix_hash(F.col("doc_id")))
-    out = rows.join(maybe_broadcast(plan, plan.count(), 128), rows["source"].eqNullSafe(plan["plan_source"]))
-    copies = F.coalesce(F.col("passes") + F.when(_below() | (_at_edge() & _nearer()), 1).otherwise(0), F.lit(0))
-    return out.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), copies.cast("int")))).select(*[rows[c] for c in docs.columns])
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), mix_hash(docs["doc_id"]).alias("h"), docs["source"].alias("row_source"))
+    out = rows.join(maybe_broadcast(plan, plan.count(), 128), rows["row_source"].eqNullSafe(plan["plan_source"]))
+    copies = F.coalesce(F.col("passes") + F.when(_below() | (_at_edge() & _nearer() if whole else F.lit(False)), 1).otherwise(0), F.lit(0)).cast("int")
+    if whole:
+        return out.withColumn("copy", F.explode(F.array_repeat(F.lit(0), copies))).select("row.*")
+    part = F.when(_at_edge(), F.floor(F.col("left") * word_count(F.col("row.text")) / F.col("edge"))).otherwise(0)
+    cut = F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>"))
+    out = out.withColumn("words", F.explode(F.concat(F.array_repeat(F.lit(None).cast("bigint"), copies), cut)))
+    text = F.when(F.col("words").isNull(), F.col("row.text")).otherwise(first_words(F.col("row.text"), F.col("words")))
+    return out.withColumn("row", F.col("row").withField("text", text)).select("row.*")
