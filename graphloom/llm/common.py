@@ -27,6 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
         return base.rstrip("/")
     own = getattr(spark.sparkContext, "_corpus_tmp", None)
     if own is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         own = spark.sparkContext._corpus_tmp = "file://" + tempfile.mkdtemp(prefix="corpus-")
         _OWNED.add(own)
     return own
@@ -67,6 +69,14 @@ def maybe_broadcast(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name that ``df`` does not have."""
+    name = base
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def text_of(df: DataFrame, name: str = "text") -> Column:
     return F.coalesce(df[name], F.lit(""))
 

@@ -1,18 +1,22 @@
-"""Exact Jaccard self-join of word-shingle sets by PartEnum signatures.
+"""Exact Jaccard self-join of word-shingle sets by signatures over size bands and partitions of the feature domain.
 
 Sets fall into size bands such that similar sets lie in the same band or in neighbouring ones; a tag stands for two
 neighbouring bands. Within a tag the feature domain is cut into partitions by a hash, and a set's projection on a
-partition is one signature. Two sets with Jaccard similarity of 0.75 or more differ in at most k = (n1 + n2) / 7
-elements, so at most k signatures of one are missing from the other: of the k + 1 first signatures in any order that
-all sets share, at least one is common. The enumeration therefore keeps k + 1 signatures of a set, those of more elements
-first; signatures made only of very frequent shingles come last. Which shingles count as frequent is a hint found from
-the counts of each task; it changes the work, never the result.
+partition is one signature, as in PartEnum. Two sets with Jaccard similarity of 0.75 or more differ in at most
+k = (n1 + n2) / 7 elements, so at most k signatures of one are missing from the other: of the k + 1 first signatures in
+any order that all sets share, at least one is common. Those are kept, signatures of more elements first; signatures made
+only of very frequent shingles come last. PartEnum's second step, subsets of second-level partitions, is left out: at this
+similarity a subset holds two to five elements, so it is empty for some of the sets in every partition, and all of those
+would share a signature (see the README for figures). Which shingles count as frequent is a hint found from the counts
+of each task; it changes the work, never the result.
 
 Of equal sets one represents all. In the groups of sets that share a signature, small groups compare all pairs and large
 ones compare every set with one pivot; verified links give components; then large groups that still hold several
 components compare the pairs across them. Every candidate is verified on whole sets, so no link is lost.
 
-A shingle is 64 bits of hash; equal sets are known by 64 bits over their shingles and number. Before whole sets meet, a
+A signature that a good part of all sets share is found in a sample; its group is split, each part has a pivot, and the
+pivots meet through the smallest. A shingle is 64 bits of hash; equal sets are known by 128 bits over their shingles and
+number. Before whole sets meet, a
 sketch of one bit for each element bounds their intersection from above, which drops most false candidates exactly.
 
 Nulls and edge cases: a null text or one without words has an empty set and links with nothing; a text of fewer than
@@ -40,10 +44,12 @@ SHINGLE = 5
 SMALL_GROUP = 8
 #: Frequency hint: shingles seen so often in one task, at most so many from a task and in all.
 HINT_LOCAL, HINT_TASK, HINT_ALL = 4, 8192, 1 << 17
+#: Sets whose signatures are counted to find those that many sets share, and the share that makes one hot.
+HOT_SAMPLE, HOT_SHARE = 4_000, 0.004
 #: Text bytes handled at once: signatures take some hundred bytes for each word.
 NGRAM_SLICE = 2 << 20
-#: Elements of a block of classes, and distinct elements that a matrix product takes at once.
-BLOCK_ELEMENTS, BLOCK_COLUMNS = 100_000, 2048
+#: Elements and sets of a block, and distinct elements that a matrix product takes at once.
+BLOCK_ELEMENTS, BLOCK_MEMBERS, BLOCK_COLUMNS = 100_000, 2048, 2048
 #: Tags up to this size use one partition for each shingle; up to the next, two partitions for each.
 TINY, SLIM = 64, 256
 
@@ -105,11 +111,11 @@ def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out[first], new
 
 
-def set_digests(sets: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """64 bits over each set and its size; 0 for the empty set."""
+def set_digests(sets: np.ndarray, offs: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64 bits over each set and its size; 0 for the empty set. Two seeds make the 128 bits that equal sets share."""
     n = np.diff(offs)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(sets ^ _POLY[0]), dtype=np.uint64)])
-    d = mix((sums[offs[1:]] - sums[offs[:-1]]) + n.astype(np.uint64) * _POLY[1])
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(sets ^ _POLY[2 * seed]), dtype=np.uint64)])
+    d = mix((sums[offs[1:]] - sums[offs[:-1]]) + n.astype(np.uint64) * _POLY[2 * seed + 1])
     return np.where(n > 0, np.where(d == 0, np.uint64(1), d), np.uint64(0))
 
 
@@ -196,8 +202,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, j in slices(texts, NGRAM_SLICE):
             sets, offs = shingle_sets(texts.slice(i, j - i))
             held.append(sets)
-            d = set_digests(sets, offs)
-            yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), _i64(np.diff(offs)), _i64(d)], names=["id", "n", "d"])
+            yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), _i64(np.diff(offs)), _i64(set_digests(sets, offs)), _i64(set_digests(sets, offs, 1))], names=["id", "n", "d", "e"])
             if sum(map(len, held)) > 2_000_000:
                 top = _frequent(held)
                 yield _hint(top)
@@ -218,20 +223,43 @@ def _frequent(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 def _hint(top: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
     v, c = top
-    return pa.RecordBatch.from_arrays([pa.nulls(len(v), pa.int64()), _i64(-c - 1), _i64(v)], names=["id", "n", "d"])
+    return pa.RecordBatch.from_arrays([pa.nulls(len(v), pa.int64()), _i64(-c - 1), _i64(v), pa.nulls(len(v), pa.int64())], names=["id", "n", "d", "e"])
 
 
-def _signed(frequent: np.ndarray):
+def _signed(frequent: np.ndarray, hot: np.ndarray, salts: int):
+    """sig, salt, id; the rows of a hot signature are dealt over salts from 1, all others have salt 0."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, ids = _texts(batch), batch.column("id").to_numpy()
             for i, j in slices(texts, NGRAM_SLICE):
                 sig, of = signatures(*shingle_sets(texts.slice(i, j - i)), frequent)
-                yield pa.RecordBatch.from_arrays([_i64(sig >> np.uint64(16)), _i64(ids[i:j][of])], names=["sig", "id"])
+                sig, own = (sig >> np.uint64(16)).astype(np.int64), ids[i:j][of].astype(np.int64)
+                salt = np.zeros(len(sig), dtype=np.int32)
+                if len(hot) and len(sig):
+                    split = hot[np.minimum(np.searchsorted(hot, sig), len(hot) - 1)] == sig
+                    salt[split] = 1 + (mix(own[split].astype(np.uint64)) % np.uint64(salts)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([_i64(sig), pa.array(salt), _i64(own)], names=["sig", "salt", "id"])
 
     return run
 
 
+def hot_signatures(reps: DataFrame, rows: int, frequent: np.ndarray) -> np.ndarray:
+    """Signatures that at least HOT_SHARE of a sample of the sets share, sorted: their groups are split, whatever their true size.
+
+    The sample only decides where work is split, never which sets meet; it holds about HOT_SAMPLE sets at any size of the
+    input, so the list is bounded.
+    """
+    every = max(1, rows // HOT_SAMPLE)
+    some = reps.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0)
+    found = some.mapInArrow(_signed(frequent, np.empty(0, np.int64), 1), SIGNED).groupBy("sig").agg(F.count(F.lit(1)).alias("k"))
+    got = found.where(F.col("k") >= max(SMALL_GROUP + 1, int(HOT_SAMPLE * HOT_SHARE))).select("sig").toArrow()
+    return np.sort(got.column("sig").to_numpy().astype(np.int64))
+
+
+SIGNED = "sig long, salt int, id long"
+
+
 def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = _texts(batch)
@@ -297,27 +325,35 @@ def with_ids(docs: DataFrame) -> DataFrame:
 
 
 def link_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """For ``docs`` (id, text): (rows: id, n, d, rep) and (links: a, b between representatives of different sets).
+    """For ``docs`` (id, text): (rows: id, n, rep) and (links: a, b between representatives of different sets).
 
     ``rep`` is the smallest id of the equal sets; the links are enough for the components.
     """
     docs = docs.select("id", "text")
-    profile = materialize(docs.mapInArrow(_profile, "id long, n long, d long"), "ngram-profile")
+    profile = materialize(docs.mapInArrow(_profile, "id long, n long, d long, e long"), "ngram-profile")
     hints = profile.where("n < 0").groupBy("d").agg(F.sum(-F.col("n") - 1).alias("c")).orderBy(F.desc("c"), "d").limit(HINT_ALL)
     frequent = np.sort(np.array([r[0] for r in hints.select("d").collect()], dtype=np.int64).view(np.uint64))  # at most HINT_ALL
     rows = profile.where("n >= 0")
-    copies = materialize(rows.where("n > 0").groupBy("d").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("k")).where("k > 1"), "ngram-copies")
-    named = rows.join(maybe_broadcast(copies.select("d", "rep"), copies.count(), 24), "d", "left")
-    rows = materialize(named.select("id", "n", "d", F.coalesce("rep", "id").alias("rep")), "ngram-classes")
+    copies = materialize(rows.where("n > 0").groupBy("d", "e").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("k")).where("k > 1"), "ngram-copies")
+    named = rows.join(maybe_broadcast(copies.select("d", "e", "rep"), copies.count(), 32), ["d", "e"], "left")
+    rows = materialize(named.select("id", "n", F.coalesce("rep", "id").alias("rep")), "ngram-classes")
     extra = rows.where("id <> rep").select("id")
-    reps = docs.join(maybe_broadcast(extra, extra.count(), 16), "id", "left_anti")
-    by = Window.partitionBy("sig")
-    signed = reps.mapInArrow(_signed(frequent), "sig long, id long")
-    shared = signed.select("sig", "id", F.min("id").over(by).alias("lo"), F.count(F.lit(1)).over(by).alias("k")).where("k > 1")
+    n_rows, n_extra = rows.count(), extra.count()
+    reps = docs.join(maybe_broadcast(extra, n_extra, 16), "id", "left_anti")
+    hot = hot_signatures(reps, n_rows - n_extra, frequent)
+    salts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = Window.partitionBy("sig", "salt")
+    signed = reps.mapInArrow(_signed(frequent, hot, salts), SIGNED)
+    shared = signed.select("sig", "salt", "id", F.min("id").over(by).alias("lo"), F.count(F.lit(1)).over(by).alias("k")).where("k > 1 or salt > 0")
     shared = materialize(shared, "ngram-shared")
-    small, large = shared.where(F.col("k") <= SMALL_GROUP), shared.where(F.col("k") > SMALL_GROUP)
+    small, large = shared.where((F.col("k") <= SMALL_GROUP) & (F.col("salt") == 0)), shared.where((F.col("k") > SMALL_GROUP) | (F.col("salt") > 0))
     pairs = small.alias("x").join(small.alias("y"), "sig").where("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     star = large.where("id <> lo").select(F.col("lo").alias("a"), F.col("id").alias("b"))
+    # The pivots of a split group meet through the smallest of them: one row for each part of it.
+    heads = large.where("salt > 0").select("sig", "lo").distinct()
+    tops = heads.groupBy("sig").agg(F.min("lo").alias("a"))
+    heads = heads.join(maybe_broadcast(tops, len(hot), 24), "sig").where("a <> lo").select("a", F.col("lo").alias("b"))
+    star = star.union(heads)
     pairs = materialize(pairs.union(star).distinct(), "ngram-pairs")
     open_ids = large.select("id").distinct()
     wanted = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(open_ids).distinct(), "ngram-wanted")
@@ -335,7 +371,8 @@ def link_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # Large groups that still hold several components: the pairs across them.
     open_ = large.select("sig", "id").join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     mixed = open_.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("id").alias("lo")).where("c0 <> c1").select("sig", "lo")
-    open_ = materialize(open_.join(mixed, "sig").join(sized, "id"), "ngram-open")
+    mixed = materialize(mixed, "ngram-mixed")
+    open_ = materialize(open_.join(maybe_broadcast(mixed, mixed.count(), 24), "sig").join(sized, "id"), "ngram-open")
     return rows, materialize(links.union(_across(open_, docs)), "ngram-all-links")
 
 
@@ -348,7 +385,7 @@ def _across(open_: DataFrame, docs: DataFrame) -> DataFrame:
     family = components(open_.select(F.col("lo").alias("a"), F.col("id").alias("b")).where("a <> b").distinct(), "ngram-family")
     members = open_.select("id", "n", "comp").distinct().join(family.select("id", F.col("comp").alias("f")), "id")
     members = materialize(members, "ngram-members")
-    sizes = members.groupBy("f").agg(F.ceil(F.sum("n") / BLOCK_ELEMENTS).cast("int").alias("blocks"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
+    sizes = members.groupBy("f").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_ELEMENTS), F.ceil(F.count(F.lit(1)) / BLOCK_MEMBERS)).cast("int").alias("blocks"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
     dealt = members.join(sizes.select("f", "blocks"), "f").withColumn("i", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     sets = _texts_of(docs, members.select("id"), members.count()).mapInArrow(_whole_sets, "id long, s array<long>")
@@ -375,11 +412,21 @@ def _block_links(table: pa.Table) -> pa.Table:
         m = np.zeros((len(d), BLOCK_COLUMNS), dtype=np.float32)
         m[who[a:b], new[a:b] - lo] = 1
         inter += m[rest] @ m.T
-    inter = inter.astype(np.int64)
-    union = n[rest][:, None] + n[None, :] - inter
-    x, y = np.nonzero((100 * inter >= 75 * union) & (label[rest][:, None] != label[None, :]))
-    u, v = d[rest[x]], d[y]
-    return pa.table({"a": np.minimum(u, v), "b": np.maximum(u, v)})
+    found, out = [], []
+    for lo in range(0, len(rest), 256):
+        some = rest[lo : lo + 256]
+        both = inter[lo : lo + 256].astype(np.int64)
+        x, y = np.nonzero((100 * both >= 75 * (n[some][:, None] + n[None, :] - both)) & (label[some][:, None] != label[None, :]))
+        found.append((some[x], y))
+    x, y = (np.concatenate([f[i] for f in found]) if found else np.empty(0, np.int64) for i in (0, 1))
+    while len(x):  # one link joins two components; pairs inside a joined one add nothing
+        a, b = x[0], y[0]
+        out.append((a, b))
+        label[label == label[b]] = label[a]
+        left = label[x] != label[y]
+        x, y = x[left], y[left]
+    u, v = d[[a for a, _ in out]], d[[b for _, b in out]]
+    return pa.table({"a": pa.array(np.minimum(u, v), pa.int64()), "b": pa.array(np.maximum(u, v), pa.int64())})
 
 
 def ngram_join(docs: DataFrame) -> DataFrame:
@@ -402,9 +449,8 @@ def _joined(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component: the smallest doc_id (nulls last). Documents without words all stay."""
-    taken = "id" in docs.columns
-    own = with_ids(docs.withColumnRenamed("id", "__own_id") if taken else docs)
-    kept = materialize(_joined(own.select("id", F.col("doc_id").cast("long").alias("doc_id"), "text")).where("first").select("id"), "ngram-kept")
-    out = own.join(maybe_broadcast(kept, kept.count(), 16), "id", "left_semi").drop("id")
-    return (out.withColumnRenamed("__own_id", "id") if taken else out).select(*docs.columns)
+    """``docs`` with one document of each component: the smallest doc_id (nulls last). Documents without words all stay; all columns are kept, whatever their names."""
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
+    own = with_ids(rows)
+    kept = materialize(_joined(own.select("id", "doc_id", "text")).where("first").select("id"), "ngram-kept")
+    return own.join(maybe_broadcast(kept, kept.count(), 16), "id", "left_semi").select("row.*")
