@@ -14,6 +14,7 @@ row by row; extra columns are not read; an empty table gives an empty result.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -48,24 +49,58 @@ ALLOW = (
 )
 
 
-def match_spans(text: Column, pattern: str, kind: str, rank: int, keep=None) -> Column:
-    """Spans of all matches of ``pattern``; positions follow from the lengths of matches and of the pieces between."""
-    p = F.lit(pattern)
-    found = F.regexp_extract_all(text, p, F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
-    lens = F.transform(found, lambda x: F.length(x))
-    empty = F.array().cast(SPAN)
-    zero = F.struct(F.lit(0).alias("pos"), empty.alias("out"))
-    ok = (lambda m: F.lit(True)) if keep is None else keep
+#: Elements whose sums run in one fold: a fold copies what it has found at each step, so long arrays go by blocks.
+BLOCK = 128
 
-    def step(acc: Column, z: Column) -> Column:
-        start = acc["pos"] + z["gap"]
-        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), (start + z["len"]).alias("end"), F.lit(kind).alias("kind"))
-        return F.struct((start + z["len"]).alias("pos"), F.when(ok(z["m"]), F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
-    zipped = F.arrays_zip(gaps.alias("gap"), lens.alias("len"), found.alias("m"))
-    zipped = F.filter(zipped, lambda z: z["m"].isNotNull())
-    return F.when(F.size(found) == 0, empty).otherwise(F.aggregate(zipped, zero, step, lambda acc: acc["out"]))
+def sums_before(values: Column) -> Column:
+    """For each of the numbers the sum of all before it. Sums run within blocks, then over the blocks' totals: nearly linear."""
+    def run(block: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("s"), F.array().cast("array<int>").alias("out"))
+        step = lambda acc, x: F.struct((acc["s"] + x).alias("s"), F.concat(acc["out"], F.array(acc["s"])).alias("out"))
+        return F.aggregate(block, zero, step, lambda acc: acc["out"])
+
+    def total(block: Column) -> Column:
+        return F.aggregate(block, F.lit(0), lambda t, x: t + x)
+
+    n = F.size(values)
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")), lambda i: F.slice(values, i * BLOCK + 1, F.lit(BLOCK)))
+    groups = F.transform(F.sequence(F.lit(0), F.floor((F.size(blocks) - 1) / BLOCK).cast("int")), lambda i: F.slice(blocks, i * BLOCK + 1, F.lit(BLOCK)))
+    # Groups of blocks: their totals are few enough for one fold up to some millions of numbers.
+    tops = run(F.transform(groups, lambda g: F.aggregate(F.transform(g, total), F.lit(0), lambda t, x: t + x)))
+    inner = F.flatten(F.zip_with(groups, tops, lambda g, at: F.transform(run(F.transform(g, total)), lambda x: x + at)))
+    long = F.flatten(F.zip_with(blocks, inner, lambda b, at: F.transform(run(b), lambda x: x + at)))
+    return F.when(n == 0, F.array().cast("array<int>")).when(n <= BLOCK, run(values)).otherwise(long)
+
+
+@dataclass(frozen=True)
+class Wanted:
+    """A pattern whose matches become spans of a kind; ``keep`` drops matches, with the text that they consumed."""
+
+    pattern: str
+    kind: str
+    rank: int
+    keep: Callable[[Column], Column] | None = None
+
+
+def with_spans(df: DataFrame, text: str, wanted: list[Wanted]) -> DataFrame:
+    """``df`` with an array of spans for each pattern, named ``s0``, ``s1`` ..; positions follow from the lengths of matches and of the pieces between.
+
+    Each step is a projection of its own, so that no pattern is matched twice.
+    """
+    own, n = df.columns, range(len(wanted))
+    found = [F.regexp_extract_all(text, F.lit(w.pattern), F.lit(0)).alias(f"f{i}") for i, w in enumerate(wanted)]
+    df = df.select(*own, *found, *[F.transform(F.split(text, w.pattern, -1), lambda x: F.length(x)).alias(f"g{i}") for i, w in enumerate(wanted)])
+    sizes = [F.zip_with(F.slice(f"g{i}", F.lit(1), F.size(f"f{i}")), f"f{i}", lambda g, m: g + F.length(m)).alias(f"v{i}") for i in n]
+    df = df.select(*own, *[c for i in n for c in (f"f{i}", f"g{i}")], *sizes)
+    df = df.select(*own, *[c for i in n for c in (f"f{i}", f"g{i}")], *[sums_before(F.col(f"v{i}")).alias(f"b{i}") for i in n])
+
+    def spans(i: int, w: Wanted) -> Column:
+        zipped = F.filter(F.arrays_zip(F.col(f"b{i}").alias("b"), F.col(f"g{i}").alias("g"), F.col(f"f{i}").alias("m")), lambda z: z["m"].isNotNull() & (w.keep(z["m"]) if w.keep else F.lit(True)))
+        one = lambda z: F.struct((z["b"] + z["g"]).alias("start"), F.lit(w.rank).alias("rank"), (z["b"] + z["g"] + F.length(z["m"])).alias("end"), F.lit(w.kind).alias("kind"))
+        return F.when(F.size(f"f{i}") == 0, F.array().cast(SPAN)).otherwise(F.transform(zipped, one))
+
+    return df.select(*own, *[spans(i, w).alias(f"s{i}") for i, w in enumerate(wanted)])
 
 
 def _f(c: Column) -> Column:
@@ -106,7 +141,7 @@ def entropy_reach(s: Column, bits: float) -> Column:
 
 
 def entropy_spans(candidates: Column, text: Column, rank: int, cls: CharClass, allow=ALLOW) -> Column:
-    """Spans over the threshold inside candidate spans (as match_spans gives them), unless only allow-listed strings reach it."""
+    """Spans over the threshold inside candidate spans (as with_spans gives them), unless only allow-listed strings reach it."""
     def look(z: Column) -> Column:
         s = F.substring(text, z["start"] + 1, z["end"] - z["start"])
         reach = entropy_reach(s, cls.bits)
@@ -124,21 +159,24 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda z: F.concat_ws(":", z["kind"], z["start"].cast("string"), z["end"].cast("string"))), ",")
 
 
-def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` with base (array of base spans) and spans (all spans), each in order of start and kind."""
-    df = docs.withColumn("__x", F.coalesce(F.col(text), F.lit("")))
+def scan(docs: DataFrame, text: str = "text", base: str = "base", spans: str = "spans") -> DataFrame:
+    """The rows of ``docs`` with ``base`` (array of base spans) and ``spans`` (all spans), each in order of start and kind.
+
+    All columns are kept, whatever their names; the two new ones must not be among them.
+    """
+    if {base.lower(), spans.lower()} & {c.lower() for c in docs.columns}:
+        raise ValueError(f"there is a column {base} or {spans} already")
+    df = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.coalesce(docs[text], F.lit("")).alias("x"))
     group2 = lambda m: F.length(F.regexp_extract(m, ASSIGN, 1)) >= 6
-    df = df.withColumn("__assign", match_spans(F.col("__x"), ASSIGN, "assign", 0, group2))
-    df = df.withColumn("__access", match_spans(F.col("__x"), ACCESS, "access", 1))
-    df = df.withColumn("__hex", match_spans(F.col("__x"), HEX, "hex", 2))
-    df = df.withColumn("base", F.array_sort(F.concat("__assign", "__access", "__hex")))
+    kinds = [Wanted(ASSIGN, "assign", 0, group2), Wanted(ACCESS, "access", 1), Wanted(HEX, "hex", 2)]
+    kinds += [Wanted(cls.pattern, cls.name, len(kinds) + i) for i, cls in enumerate(CLASSES)]
+    df = with_spans(df, "x", kinds).withColumn("base", F.array_sort(F.concat("s0", "s1", "s2")))
     for i, cls in enumerate(CLASSES):
-        df = df.withColumn(f"__c{i}", match_spans(F.col("__x"), cls.pattern, cls.name, 3 + i))
-        found = entropy_spans(F.col(f"__c{i}"), F.col("__x"), 3 + i, cls)
-        outside = F.filter(found, lambda z: ~F.exists(F.col("base"), lambda b: (b["start"] <= z["start"]) & (z["end"] <= b["end"])))
-        df = df.withColumn(f"__e{i}", F.when(F.size(f"__c{i}") == 0, F.array().cast(SPAN)).otherwise(outside))
-    df = df.withColumn("spans", F.array_sort(F.concat("base", *[f"__e{i}" for i in range(len(CLASSES))])))
-    return df.drop(*[c for c in df.columns if c.startswith("__")])
+        entropy = entropy_spans(F.col(f"s{3 + i}"), F.col("x"), 3 + i, cls)
+        outside = F.filter(entropy, lambda z: ~F.exists(F.col("base"), lambda b: (b["start"] <= z["start"]) & (z["end"] <= b["end"])))
+        df = df.withColumn(f"e{i}", F.when(F.size(f"s{3 + i}") == 0, F.array().cast(SPAN)).otherwise(outside))
+    df = df.withColumn("spans", F.array_sort(F.concat("base", *[f"e{i}" for i in range(len(CLASSES))])))
+    return df.select("row.*", F.col("base").alias(base), F.col("spans").alias(spans))
 
 
 def secret_report(docs: DataFrame) -> DataFrame:
