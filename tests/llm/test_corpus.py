@@ -91,6 +91,13 @@ def test_mix_meets_targets(docs, empty):
     assert abs(got.groupby("source", dropna=False).target.first().sum() - got["size"].sum()) < 1e-6 * got["size"].sum() + 1e-6
     assert got.equals(mix(docs).toPandas()) or got.sort_values("doc_id").reset_index(drop=True).equals(mix(docs).toPandas().sort_values("doc_id").reset_index(drop=True))
     assert mixed_documents(docs).columns == docs.columns
+    words = {r.doc_id: r.taken for r in mix(docs).collect() if r.taken}
+    cut: dict = {}
+    for r in mixed_documents(docs, whole=False).collect():
+        cut[r.doc_id] = cut.get(r.doc_id, 0) + len(WORD.findall(r.text or ""))
+    assert {k: v for k, v in cut.items() if v} == words and len({r.text for r in docs.collect()} | {r.text for r in mixed_documents(docs).collect()}) == len({r.text for r in docs.collect()})
+    clash = docs.select("*", F.lit("k").alias("base"), F.lit("k").alias("left"), F.lit("k").alias("room"), F.lit("k").alias("row"), F.lit("k").alias("plan_source"))
+    assert {(r.h, r.base, r.left, r.room, r.row, r.plan_source) for r in mixed_documents(clash).collect()} == {("clash", "k", "k", "k", "k", "k")}
     assert mix(empty).count() == 0 and mixed_documents(empty).count() == 0
 
 
@@ -197,6 +204,11 @@ def test_toxicity(spark, empty):
     assert sum(got[i].predicted == t for i, t in labels) == 400
     assert got[901].predicted == got[902].predicted == 0
     assert toxicity.fold("Іd1οt") == toxicity.fold("idiot") and toxicity.toxicity_report(empty, lab).count() == 0
+    scored = toxicity.without_toxic(docs.select("*", F.lit(7).alias("score"), F.lit(8).alias("__toxicity")), toxicity.fit(docs, lab))
+    assert scored.columns == ["doc_id", "text", "score", "__toxicity"] and {(r.score, r["__toxicity"]) for r in scored.collect()} == {(7, 8)} and scored.count() == 303
+    with pytest.raises(ValueError):
+        toxicity.score(scored, toxicity.Model())
+    assert {r.doc_id for r in toxicity.sample_labels(spark.createDataFrame([(1, 0), (1, 1), (2, 1), (2, 1), (3, None)], "doc_id long, toxic int")).collect()} == {2}
     model = toxicity.Model({" trash": 2.0}, ("trash can",))
     a = model.automaton()
     assert toxicity.weigh(toxicity.fold("trash"), a) == 2 and toxicity.weigh(toxicity.fold("a trash can"), a) == 0
@@ -250,7 +262,7 @@ def test_edit_distance():
 
 
 def test_line_dedup(spark, empty):
-    from graphloom.llm.line_dedup import MASKS, dedup_lines, line_report
+    from graphloom.llm.line_dedup import dedup_lines, line_report
 
     long = "alpha river mountain seven bridges crossing under the cold northern morning sky again together"
     rows = [(1, f"{long}\nshort line"), (2, f"Title here\n{long.upper()}!"), (3, f"{long}\n{long}"), (4, None), (5, "")]
@@ -258,7 +270,10 @@ def test_line_dedup(spark, empty):
     assert got == {1: [], 2: [1], 3: [0, 1], 4: [], 5: []}
     kept = {r.doc_id: r.text for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert kept[2] == "Title here" and kept[3] == "" and kept[4] is None
-    assert len(MASKS) == 20 and line_report(empty).count() == 0
+    assert line_report(empty).count() == 0 and dedup_lines(empty).columns == empty.columns
+    twins = spark.createDataFrame([(1, "only here one two\nboth of them hold this", "r"), (1, "another line here\nboth of them hold this", "r"), (None, "both of them hold this", "r"), (None, "and this line stays", "r")], "doc_id long, text string, row string")
+    left = sorted(r.text for r in dedup_lines(twins).collect())
+    assert [t.count("both of them hold this") for t in left].count(1) == 1 and {x for t in left for x in t.split("\n") if x and not x.startswith("both")} == {"only here one two", "another line here", "and this line stays"}
 
 
 def test_licenses(spark, empty):
@@ -424,3 +439,65 @@ def test_allow_list_spares_keys_beside_it(spark):
     rows = [(1, f"/sample/{key}"), (2, f"{key}-example"), (3, "example-key-0123456789-abcdefghij"), (4, "550e8400-e29b-41d4-a716-446655440000")]
     got = {r.doc_id: r.spans for r in secret_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert "entropy_base64" in got[1] and "entropy_base64" in got[2] and got[3] == got[4] == ""
+
+
+def test_toxicity_on_held_out_labels(spark):
+    """Learned on four fifths of the labels, right on the fifth that was held out; exceptions come from the labels too."""
+    from graphloom.llm import toxicity
+
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    got = toxicity.toxicity_report(docs, labels).where("held_out").join(labels, "doc_id").collect()
+    toxic, clean = [r.predicted for r in got if r.toxic], [r.predicted for r in got if r.toxic == 0]
+    assert len(toxic) > 5 and sum(toxic) / len(toxic) >= 0.9 and sum(clean) / len(clean) <= 0.05
+    r = random.Random(8)
+    plain = lambda: [r.choice(["house", "river", "green", "walk", "table"]) for _ in range(20)]
+    rows = [(i, " ".join(plain() + (["you", "grumblek"] if i % 3 == 0 else ["grumblek", "bird"] if i % 40 == 1 else []))) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(df, spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id long, toxic int"))
+    assert any(t.startswith(" grumb") for t in model.terms) and toxicity.fold("grumblek bird").strip() in model.exceptions
+
+
+def test_secrets_in_long_texts_and_clashing_columns(spark, empty):
+    """Many matches in one text are found in time linear in it; all columns of a table stay."""
+    from graphloom.llm.secrets import scan, secret_report
+
+    n = 20_000
+    df = spark.createDataFrame([(1, "token=abcdef1 " * n, "a", "b", "c"), (2, None, "a", "b", "c"), (2, "token=abcdef1", "a", "b", "c")], "doc_id long, text string, row string, x string, `__own` string")
+    got = sorted((r.doc_id, r.n_assign, r.base_sha256) for r in secret_report(df).collect())
+    many = ",".join(f"assign:{14 * i}:{14 * i + 13}" for i in range(n))
+    assert got == sorted([(1, n, hashlib.sha256(many.encode()).hexdigest()), (2, 0, hashlib.sha256(b"").hexdigest()), (2, 1, hashlib.sha256(b"assign:0:13").hexdigest())])
+    out = scan(df)
+    assert out.columns == [*df.columns, "base", "spans"] and {(r.row, r.x, r["__own"]) for r in out.collect()} == {("a", "b", "c")}
+    with pytest.raises(ValueError):
+        scan(df.withColumnRenamed("x", "base"))
+    assert secret_report(empty).count() == 0
+
+
+def test_sums_before(spark):
+    from graphloom.llm.secrets import sums_before
+
+    r = random.Random(3)
+    for n in (0, 1, 127, 128, 129, 20_000):
+        v = [r.randrange(9) for _ in range(n)]
+        got = spark.createDataFrame([(v,)], "v array<int>").select(sums_before(F.col("v")).alias("s")).first().s
+        assert got == [0, *np.cumsum(v).tolist()][:n]
+
+
+def test_hot_signatures_are_split(spark):
+    """A third of the rows are near copies of one text: the group is split and still one class; block sizes bound members too."""
+    from graphloom.llm import ngram_join as nj
+
+    r = random.Random(6)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(900):
+        w = list(base) if i % 3 == 0 else [f"x{r.randrange(10**6)}" for _ in range(40)]
+        w[r.randrange(len(w))] = f"y{i}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert len(nj.hot_signatures(df.withColumnRenamed("doc_id", "id"), 900, np.empty(0, np.uint64))) > 10
+    got = {x.doc_id: x.component_id for x in nj.ngram_join(df).collect()}
+    assert got == {i: 0 if i % 3 == 0 else i for i in range(900)}
+    kept = nj.one_of_each_group(df.select("*", F.lit("k").alias("row"), F.lit("k").alias("id")))
+    assert kept.columns == ["doc_id", "text", "row", "id"] and kept.count() == 601 and {(x.row, x.id) for x in kept.collect()} == {("k", "k")}
