@@ -146,7 +146,7 @@ def index_files(files: DataFrame, github: str, branch: str, sha: str, prev: tupl
         new = add_scaffolding(nodes, sound, github, branch, sha)
     new = stored(new[0], "index-new-nodes"), stored(new[1], "index-new-edges")
     delta = snapshot.maps_delta(prev, new, base, sha, COMPARED_NODE, COMPARED_EDGE)
-    found = extract_contracts(known, walker.functions(facts))
+    found = Contracts({k: stored(t, f"index-{k}") for k, t in extract_contracts(known, walker.functions(facts)).tables.items()})
     if contracts is not None and removed is not None:
         found = contracts.without(removed).replaced(found)
     return IndexRun(*new, delta, found, facts.where("fact = 'file'").select("repo_id", "branch", "path", "language", "status"), dangling)
