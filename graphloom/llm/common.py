@@ -69,6 +69,17 @@ def maybe_broadcast(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
+#: Rows of an Arrow batch at most: buffers of the JVM and of its Python workers stay small, whatever a partition holds.
+ARROW_ROWS = 1_000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """From now on the session's Arrow batches have at most ARROW_ROWS rows; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """A column name that ``df`` does not have."""
     name = base

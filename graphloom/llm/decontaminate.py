@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release_memory
+from .common import bound_batches, release_memory
 from .editdist import best_infix
 from .ngram_join import mix
 from .tokenstore import slices
@@ -158,6 +158,7 @@ def _matcher(ids: list[int], texts: list[str]):
 
 def item_blocks(items: DataFrame) -> Iterator[tuple[list[int], list[str]]]:
     """The stated items, at most about BLOCK_ITEMS at a time."""
+    bound_batches(items.sparkSession)
     items = items.select(F.col("item_id").cast("long"), "text").where("text is not null")
     blocks = max(1, -(-items.count() // BLOCK_ITEMS))
     for b in range(blocks):

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, maybe_broadcast, release_memory
+from .common import bound_batches, materialize, maybe_broadcast, release_memory
 from .components import components
 from .tokenstore import slices
 
@@ -329,6 +329,7 @@ def link_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     ``rep`` is the smallest id of the equal sets; the links are enough for the components.
     """
+    bound_batches(docs.sparkSession)
     docs = docs.select("id", "text")
     profile = materialize(docs.mapInArrow(_profile, "id long, n long, d long, e long"), "ngram-profile")
     hints = profile.where("n < 0").groupBy("d").agg(F.sum(-F.col("n") - 1).alias("c")).orderBy(F.desc("c"), "d").limit(HINT_ALL)

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_path, materialize, maybe_broadcast, release_memory, shared_path
+from .common import bound_batches, drop_path, materialize, maybe_broadcast, release_memory, shared_path
 
 GEAR = 32
 MIN_CHUNK, MAX_CHUNK, MASK = 64, 2048, 255
@@ -358,6 +358,7 @@ def _local_starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def write_store(docs: DataFrame, path: str, codec: Codec = Codec()) -> None:
     """Encode ``docs`` (doc_id, text) and write the store to the folder ``path``."""
     spark = docs.sparkSession
+    bound_batches(spark)
     tmp = shared_path(spark, "token-stage")
     staged = materialize(stage(docs, codec), "token-stage", tmp)
     recipes = staged.where("chunk is null").select("row", "doc_id", "n_tokens", "chunks", "lens", "root")

@@ -13,8 +13,8 @@ and of the text's length, fitted on the same rows. Labels are read for at most F
 the id (a documented bound of the fit); scoring reads every text whole.
 
 Nulls and edge cases: a null text scores as the empty one; labels that are null or whose document is missing, and all
-labels of a document that contradict each other, are left out; of rows that share a labelled doc_id the smallest text is
-learned from; with no labels, or labels of one class, every score is the base rate's (0.02 without any); repeated rows are
+labels of a document that contradict each other, are left out; of different texts that share a labelled doc_id the
+one of the smallest hash is learned from; with no labels, or labels of one class, every score is the base rate's (0.02 without any); repeated rows are
 scored one by one; an empty table gives an empty result; only doc_id and text are read, and doc_id is no input of the
 score; scored rows keep all columns, whatever their names, and the score's name can be chosen.
 """
@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, maybe_broadcast
+from .common import bound_batches, free_name, materialize, maybe_broadcast, release_memory
 
 FIT_ROWS = 20_000
 MAX_TERMS = 5_000
@@ -152,12 +152,15 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pos: Counter[str] = Counter()
     neg: Counter[str] = Counter()
     for b in batches:
-        for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist()):
-            (pos if toxic else neg).update(features(fold(text or "")))
-        if len(pos) + len(neg) > 1_000_000:
+        for text, toxic in zip(b.column("text"), b.column("toxic")):
+            (pos if toxic.as_py() else neg).update(features(fold(text.as_py() or "")))
+        if len(pos) + len(neg) > 300_000:
             yield _counted(pos, neg)
             pos, neg = Counter(), Counter()
+            release_memory()
     yield _counted(pos, neg)
+    del pos, neg
+    release_memory()
 
 
 def _counted(pos: Counter, neg: Counter) -> pa.RecordBatch:
@@ -167,14 +170,14 @@ def _counted(pos: Counter, neg: Counter) -> pa.RecordBatch:
     )
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
-    """Ridge logistic regression by Newton steps; the intercept is free."""
+def _logistic(x: np.ndarray, y: np.ndarray, k: np.ndarray, ridge: float = 0.05) -> np.ndarray:
+    """Ridge logistic regression of rows that occur k times, by Newton steps; the intercept is free."""
     x = np.column_stack([np.ones(len(x)), x])
     b, r = np.zeros(x.shape[1]), ridge * np.eye(x.shape[1])
     r[0, 0] = 1e-6
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + r, x.T @ (y - p) - r @ b)
+        step = np.linalg.solve((x * (k * p * (1 - p))[:, None]).T @ x + r, x.T @ (k * (y - p)) - r @ b)
         b = b + np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-6:
             break
@@ -189,15 +192,16 @@ def sample_labels(labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
 
 
 def phrases(folded: str, automaton: ahocorasick.Automaton) -> set[str]:
-    """Each word that meets a term, with the word before it and with the one after it."""
-    words = folded.split()
-    at = np.cumsum([1] + [len(w) + 1 for w in words])
-    plain = f" {' '.join(words)} "
+    """Each word that meets a term, with the word before it and with the one after it, where a single blank parts them."""
     out: set[str] = set()
-    for end, (n, w) in automaton.iter(plain):
-        i = int(np.searchsorted(at, end - n + 2, side="right")) - 1  # a term begins with the blank before its word
-        if w > 0 and i < len(words):
-            out.update(" ".join(words[j : j + 2]) for j in (i - 1, i) if 0 <= j and j + 2 <= len(words))
+    for end, (n, w) in automaton.iter(folded):
+        start = end - n + 2  # a term begins with the blank before its word
+        stop = folded.find(" ", start)
+        before, after = folded.rfind(" ", 0, start - 1) + 1, folded.find(" ", stop + 1)
+        if w > 0 and before < start - 1:
+            out.add(folded[before:stop])
+        if w > 0 and stop + 1 < after:
+            out.add(folded[start:after])
     return out
 
 
@@ -207,8 +211,9 @@ def _phrase_counts(model: Model):
         pos: Counter[str] = Counter()
         neg: Counter[str] = Counter()
         for b in batches:
-            for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist()):
-                (pos if toxic else neg).update(phrases(fold(text or ""), automaton) if automaton else ())
+            release_memory()
+            for text, toxic in zip(b.column("text"), b.column("toxic")):
+                (pos if toxic.as_py() else neg).update(phrases(fold(text.as_py() or ""), automaton) if automaton else ())
         yield _counted(pos, neg)
 
     return run
@@ -219,9 +224,15 @@ COUNTS = "term string, pos long, neg long"
 
 def fit(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = (), rows: int = FIT_ROWS) -> Model:
     """Learn lexicon, exceptions and calibration from at most ``rows`` labelled documents; given exceptions are kept."""
+    bound_batches(docs.sparkSession)
     chosen = maybe_broadcast(sample_labels(labels, rows), rows, 24)
-    train = docs.select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").cast("int").alias("toxic")).select("text", "toxic")
-    sums = train.agg(F.sum("toxic"), F.count(F.lit(1))).first()
+    labelled = docs.select("doc_id").join(chosen, "doc_id").groupBy("doc_id", F.col("toxic").cast("int").alias("toxic")).agg(F.count(F.lit(1)).alias("k"))
+    sums = labelled.agg(F.sum("toxic"), F.count(F.lit(1)), F.max("k")).first()
+    train = docs.select("doc_id", "text").join(chosen, "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
+    if (sums[2] or 0) > 1:  # several rows of one id: the hash says which text counts, so that the bound holds
+        hashed = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
+        one = hashed.select("doc_id", "th").join(chosen, "doc_id").groupBy("doc_id", F.col("toxic").cast("int").alias("toxic")).agg(F.min("th").alias("th"))
+        train = hashed.join(maybe_broadcast(materialize(one, "toxicity-train"), rows, 32), ["doc_id", "th"]).select("text", "toxic")
     total_p = int(sums[0] or 0)
     total_n = int(sums[1]) - total_p
     if not total_p or not total_n:
@@ -238,9 +249,9 @@ def fit(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = (), ro
     clean = summed(_phrase_counts(Model(terms))).where((F.col("pos") == 0) & (F.col("neg") >= MIN_CLEAN)).orderBy(F.desc("neg"), "term").limit(MAX_EXCEPTIONS)
     exceptions = (*exceptions, *sorted(r.term for r in clean.collect()))
     model = Model(terms, exceptions)
-    got = train.mapInArrow(_weights(model), "w double, n long, toxic int").toPandas()  # at most ``rows`` rows
+    got = train.mapInArrow(_weights(model), "w double, n long, toxic int").groupBy("w", "n", "toxic").agg(F.count(F.lit(1)).alias("k")).orderBy("w", "n", "toxic").toPandas()  # at most ``rows`` rows
     x = np.column_stack([np.log1p(got["w"]), np.log1p(got["n"])])
-    b = _logistic(x, got["toxic"].to_numpy(dtype=float))
+    b = _logistic(x, got["toxic"].to_numpy(dtype=float), got["k"].to_numpy(dtype=float))
     return Model(terms, exceptions, *map(float, b))
 
 
@@ -248,9 +259,12 @@ def _weights(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = model.automaton()
         for b in batches:
-            folded = [fold(t or "") for t in b.column("text").to_pylist()]
-            w = [weigh(t, automaton) for t in folded]
-            yield pa.RecordBatch.from_arrays([pa.array(w, pa.float64()), pa.array([t.count(" ") for t in folded], pa.int64()), b.column("toxic")], names=["w", "n", "toxic"])
+            release_memory()
+            w, n = np.empty(b.num_rows), np.empty(b.num_rows, dtype=np.int64)
+            for i, t in enumerate(b.column("text")):
+                folded = fold(t.as_py() or "")
+                w[i], n[i] = weigh(folded, automaton), folded.count(" ")
+            yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(n), b.column("toxic")], names=["w", "n", "toxic"])
 
     return run
 
@@ -259,11 +273,13 @@ def score(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
     """``docs`` with a column ``out`` between 0 and 1, which ``docs`` must not have; needs a column ``text``."""
     if out.lower() in {c.lower() for c in docs.columns}:
         raise ValueError(f"there is a column {out} already")
+    bound_batches(docs.sparkSession)
     fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = model.automaton()
         for b in batches:
+            release_memory()
             got = np.empty(b.num_rows)
             for i, t in enumerate(b.column("text")):
                 folded = fold(t.as_py() or "")
