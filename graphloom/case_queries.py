@@ -590,7 +590,11 @@ def _link_sets(spark, sf):
     )
     brokers = e.select(F.upper(F.concat(F.col("event_type"), F.lit("-1"))).alias("key"), F.lit("Kafka").alias("value")).distinct()
     contract = {k: spark.createDataFrame([], v) for k, v in _EMPTY.items()}
-    make = lambda ch, br: links.compute_links(heads, contract["provides"], contract["consumes"], ch, contract["resources"], contract["evidence"], _pairs(spark, "prefix"), br, _pairs(spark, "key"))
+
+    def make(ch, br):
+        found = links.compute_links(heads, contract["provides"], contract["consumes"], ch, contract["resources"], contract["evidence"], _pairs(spark, "prefix"), br, _pairs(spark, "key"))
+        return links.LinkSet(stored(found.edges, "case-edges"), stored(found.topics, "case-topics"), stored(found.resources, "case-resources"))
+
     return make(channels.drop("user_id"), _pairs(spark, "key")), make(channels.where("user_id % 4 <> 0").drop("user_id"), brokers)
 
 
@@ -824,9 +828,9 @@ def g21_code_context(spark, sf):
     return _api(spark, sf).get_code_context(ids=wanted, depth=1).rows.select("root", "id", "depth")
 
 
-@query("SELECT id FROM nodes WHERE path = 'Brand#11/PROMO TIN.py' OR path LIKE '%TIN.py' OR name = 'TIN.py' ORDER BY id LIMIT 50")
+@query("SELECT id FROM nodes WHERE path LIKE '%ECONOMY.py' OR name = 'ECONOMY.py' ORDER BY id LIMIT 50")
 def g21_paths(spark, sf):
-    return _api(spark, sf).get_code_context(paths=["TIN.py"], depth=0).parts["path_matches"].select("id")
+    return _api(spark, sf).get_code_context(paths=["ECONOMY.py"], depth=0).parts["path_matches"].select("id")
 
 
 @query("""SELECT n.id, n.name, CAST(count(e.src) AS DOUBLE) AS score FROM nodes n LEFT JOIN dep e ON e.dst = n.id WHERE n.kind = 'RESOURCE' GROUP BY n.id, n.name ORDER BY score DESC, n.id LIMIT 10""")
