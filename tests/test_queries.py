@@ -33,7 +33,7 @@ def test_betweenness_matches_brandes(spark):
     from graphloom.operators.analytics import betweenness
 
     pairs = [("a", "b"), ("b", "c"), ("a", "d"), ("d", "c"), ("c", "e")]
-    edges = spark.createDataFrame([("CALLS", x, y) for x, y in pairs], "kind string, src string, dst string")
+    edges = spark.createDataFrame([("DEPENDS_ON", x, y) for x, y in pairs], "kind string, src string, dst string")
     ids = spark.createDataFrame([(x,) for x in "abcde"], "id string")
     got = {r.id: round(r.score, 6) for r in betweenness(edges, ids).collect() if r.score}
     assert got == {"b": 1.0, "d": 1.0, "c": 3.0}  # a-c: two paths; a-e, b-e, d-e go through c
@@ -43,18 +43,19 @@ def test_components_of_long_paths(spark):
     """Shuffled paths of many hundred links, and one whose smallest id meets falling ids, settle on one smallest id each."""
     import random
 
-    from graphloom.llm.components import components
     from graphloom.operators import analytics
+    from graphloom.operators.contract import smallest_reachable
+    from graphloom.plans.storage import stored
 
     r = random.Random(4)
     ids = r.sample(range(10**9), 900)
     falling = [10**9, *range(10**9 + 300, 10**9 + 1, -1)]
     links = [*zip(ids, ids[1:]), *zip(falling, falling[1:])]
     want = {i: min(ids) for i in ids} | {i: 10**9 for i in falling}
-    got = {x.id: x.comp for x in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    got = {x.id: x.comp for x in smallest_reachable(stored(spark.createDataFrame([*links, *((b, a) for a, b in links)], "a long, b long")), stored).collect()}
     assert got == want
     name = "{:012d}".format
-    edges = spark.createDataFrame([("CALLS", name(a), name(b)) for a, b in links], "kind string, src string, dst string")
+    edges = spark.createDataFrame([("DEPENDS_ON", name(a), name(b)) for a, b in links], "kind string, src string, dst string")
     nodes = spark.createDataFrame([(name(i),) for i in [*want, 5 * 10**9]], "id string")
     got = {x.id: (x.component, x.size) for x in analytics.components(nodes, edges).collect()}
     assert got == {name(i): (name(c), 900 if c < 10**9 else 300) for i, c in want.items()} | {name(5 * 10**9): (name(5 * 10**9), 1)}
