@@ -501,3 +501,22 @@ def test_hot_signatures_are_split(spark):
     assert got == {i: 0 if i % 3 == 0 else i for i in range(900)}
     kept = nj.one_of_each_group(df.select("*", F.lit("k").alias("row"), F.lit("k").alias("id")))
     assert kept.columns == ["doc_id", "text", "row", "id"] and kept.count() == 601 and {(x.row, x.id) for x in kept.collect()} == {("k", "k")}
+
+
+def test_ngram_blocks_stay_small():
+    """Two full blocks of sets are compared in a bounded piece of an executor's memory, and no link is lost."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from graphloom.llm import ngram_join
+
+    n, rng = 2 * ngram_join.BLOCK_MEMBERS, np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 1 << 40, 20)) for _ in range(n)]
+    sets[-1] = np.unique(np.append(sets[0][:-1], 7))
+    table = pa.table({"id": pa.array(range(n), pa.int64()), "comp": pa.array(range(n), pa.int64()), "s": pa.array([x.tolist() for x in sets], pa.list_(pa.int64()))})
+    tracemalloc.start()
+    got = ngram_join._block_links(table).to_pydict()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == {"a": [0], "b": [n - 1]} and peak < 100 << 20, peak
