@@ -23,7 +23,7 @@ def projection(edges: DataFrame) -> DataFrame:
 
 def blast_radius(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     """root, id, distance of everything that reaches a root through dependencies; the root itself is left out."""
-    _, reached = bfs(edges, roots, min(depth, MAX_DEPTH), DEPENDENCY_KINDS, inbound=True)
+    _, reached = bfs(edges, roots, min(depth, MAX_DEPTH), DEPENDENCY_KINDS, inbound=True, with_edges=False)
     return reached.where("depth > 0").select("root", "id", F.col("depth").alias("distance"))
 
 

@@ -205,7 +205,7 @@ class GraphApi:
         for p in paths or []:
             hit = hit | self._at_path(_named(p, "path"))
         matches = self._on_branch(self.nodes.where(hit), "id", branch).orderBy("id").limit(self.budget.max_results)
-        _, reached = bfs(self.edges, symbols.select("id"), self.budget.depth(depth), None, both=True, members=self.members(branch))
+        _, reached = bfs(self.edges, symbols.select("id"), self.budget.depth(depth), None, both=True, members=self.members(branch), with_edges=False)
         return GraphResult(reached.join(self.nodes, "id").orderBy("root", "depth", "id"), False, {"symbols": symbols, "path_matches": matches})
 
     def get_dependency_analytics(self, mode: str, id: str | None = None, depth: int | None = None, limit: int | None = None, branch: str | None = None) -> dict:

@@ -9,36 +9,46 @@ from pyspark.sql.types import MapType, StructType
 from graphloom.plans.storage import small, stored
 
 
-def _steps(edges: DataFrame, kinds, inbound: bool, both: bool) -> DataFrame:
+def _kept(edges: DataFrame, kinds) -> DataFrame:
     e = edges.select("kind", "src", "dst")
-    if kinds:
-        e = e.where(F.col("kind").isin(*kinds))
-    out = e.select("kind", "src", "dst", F.col("src").alias("near"), F.col("dst").alias("far"))
-    back = e.select("kind", "src", "dst", F.col("dst").alias("near"), F.col("src").alias("far"))
-    return out.union(back) if both else back if inbound else out
+    return e.where(F.col("kind").isin(*kinds)) if kinds else e
 
 
-def bfs(edges: DataFrame, starts: DataFrame, depth: int, kinds=None, inbound: bool = False, both: bool = False, members: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def _steps(e: DataFrame, inbound: bool, both: bool) -> DataFrame:
+    out, back = (F.struct(F.col(x).alias("near"), F.col(y).alias("far")) for x, y in (("src", "dst"), ("dst", "src")))
+    if both:  # one pass over the edges for both ways
+        return e.select("kind", "src", "dst", F.inline(F.array(out, back)))
+    return e.select("kind", "src", "dst", (back if inbound else out).alias("s")).select("kind", "src", "dst", "s.*")
+
+
+def bfs(edges: DataFrame, starts: DataFrame, depth: int, kinds=None, inbound: bool = False, both: bool = False, members: DataFrame | None = None, with_edges: bool = True) -> tuple[DataFrame | None, DataFrame]:
     """(edges met: kind, src, dst, depth) and (nodes reached: root, id, depth; the roots at depth 0).
 
     ``starts`` has a column id; all roots are walked at once, each with its own visited set. Every node is expanded once
-    a root; an edge to a visited node is still met. ``members`` (node_id) restricts the far ends.
+    a root; an edge to a visited node is still met. ``members`` (node_id) restricts the far ends. Without ``with_edges``
+    no edge is stored for the first result (None). The edges are read once a level: stored where there are several.
     """
-    steps = stored(_steps(edges, kinds, inbound, both), "bfs-edges")
+    e = _kept(edges, kinds)
     reached = stored(starts.select(F.col("id").alias("root"), "id", F.lit(0).alias("depth")).distinct(), "bfs-0")
     frontier, n, met = reached, reached.count(), None
+    if n and depth > 1:
+        e = stored(e, "bfs-edges")
+    steps = _steps(e, inbound, both)
     for d in range(1, depth + 1):
         if not n:
             break
         hop = steps.join(small(frontier.select("root", F.col("id").alias("near")), n), "near")
         if members is not None:
             hop = hop.join(members.select(F.col("node_id").alias("far")), "far", "left_semi")
-        hop = stored(hop.select("root", "kind", "src", "dst", "far"), f"bfs-hop{d}")
-        met = hop.withColumn("depth", F.lit(d)) if met is None else met.union(hop.withColumn("depth", F.lit(d)))
+        if with_edges:
+            hop = stored(hop.select("root", "kind", "src", "dst", "far"), f"bfs-hop{d}")
+            met = hop.withColumn("depth", F.lit(d)) if met is None else met.union(hop.withColumn("depth", F.lit(d)))
         new = hop.select("root", F.col("far").alias("id")).distinct().join(reached.select("root", "id"), ["root", "id"], "left_anti")
         frontier = stored(new.withColumn("depth", F.lit(d)), f"bfs-{d}")
         n = frontier.count()  # from the files' footers
         reached = reached.union(frontier) if n else reached
+    if not with_edges:
+        return None, reached
     if met is None:
         met = steps.select(F.lit("").alias("root"), "kind", "src", "dst", "far", F.lit(0).alias("depth")).limit(0)
     met = met.groupBy("root", "kind", "src", "dst").agg(F.min("depth").alias("depth"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from graphloom import jsonrpc
 from graphloom.extract import rules
 from graphloom.functions import text
-from graphloom.operators import joins, links, snapshot
+from graphloom.operators import joins, links, snapshot, traverse
 from graphloom.operators.api import Budget, GraphApi
 from graphloom.sources import config, registry
 from graphloom.streaming import watch
@@ -329,3 +329,33 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["--config", str(tmp_path / "w.toml"), "--home", str(tmp_path / "h"), "status"]) == 0
     assert json.loads(capsys.readouterr().out.strip())["repo_id"] == "web"
     assert parser().parse_args(["index", "--repo", "web", "--full"]).full and parser().parse_args(["watch"]).interval == 30
+
+
+def test_no_level_reads_no_edges_and_nodes_alone_store_none(spark):
+    edges = spark.createDataFrame([("CALLS", "a", "b"), ("CALLS", "b", "c"), ("CALLS", "c", "a")], "kind string, src string, dst string")
+    broken = edges.withColumn("src", F.raise_error(F.lit("read")).cast("string"))
+    start = spark.createDataFrame([("a",)], "id string")
+    for starts, depth in ((start, 0), (start.limit(0), 2)):
+        met, reached = traverse.bfs(broken, starts, depth, both=True)
+        assert {r.id for r in reached.collect()} == {r.id for r in starts.collect()}
+        assert traverse.bfs(broken, starts, depth, with_edges=False)[0] is None
+    assert {(r.id, r.depth) for r in traverse.bfs(edges, start, 2, both=True, with_edges=False)[1].collect()} == {("a", 0), ("b", 1), ("c", 1)}
+
+
+def test_wide_views_meet_as_numbers(spark, tmp_path):
+    """No id in hex is shuffled for calls, imports and containment; suppliers that share an id stay one node."""
+    import re
+
+    from graphloom.plans import bridge
+
+    sf = "/root/testdata/sf0.001"
+    for name in ("calls", "imports", "holds"):
+        plan = bridge.view(spark, sf, name)._jdf.queryExecution().executedPlan().toString()
+        assert not re.findall(r"hashpartitioning\([^)]*\bid#", plan), name
+    for t in bridge.TABLES:
+        df = spark.read.parquet(f"{sf}/{t}.parquet")
+        if t == "supplier":
+            df = df.withColumn("s_name", F.lit("Same"))
+        df.write.parquet(f"{tmp_path}/{t}.parquet")
+    deps, keys = bridge.view(spark, str(tmp_path), "deps").collect(), bridge.view(spark, str(tmp_path), "edge_keys").where("src % 8 = 0 and dst % 8 = 1").collect()
+    assert len(set(deps)) == len(deps) == len(keys) and len({d.dst for d in deps}) == 6
