@@ -65,7 +65,9 @@ def g6_callees(spark, sf):
   r(id, depth) AS (SELECT id, 0 FROM parts WHERE p_partkey = 1 UNION SELECT e.far, r.depth + 1 FROM r JOIN both_ways e ON e.near = r.id WHERE r.depth < 2)
 SELECT id, min(depth) AS depth FROM r GROUP BY id""")
 def g2_undirected_bfs(spark, sf):
-    return traverse.bfs(bridge.view(spark, sf, "edges"), _root(spark, sf), 2, None, both=True)[1].select("id", "depth")
+    root = bridge.view(spark, sf, "function_keys").where("id = 8")  # part 1
+    _, reached = traverse.bfs(bridge.view(spark, sf, "edge_keys"), root, 2, None, both=True, with_edges=False)
+    return reached.select(F.col("id").alias("k"), "depth").join(bridge.view(spark, sf, "id_keys"), "k").select("id", "depth")
 
 
 @query("""RECURSIVE WITH r(id, depth) AS (SELECT id, 0 FROM parts WHERE p_partkey = 1 UNION SELECT e.src, r.depth + 1 FROM r JOIN dep e ON e.dst = r.id WHERE r.depth < 2),
