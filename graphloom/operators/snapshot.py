@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
 
 from graphloom.model import check_relation
+from graphloom.plans.storage import small, stored
 
 EDGE_KEY = ["kind", "src", "dst"]
 #: Priority of analyzers when facts disagree, and the tags of their messages.
@@ -107,7 +108,8 @@ def guarded_delete(nodes: DataFrame, edges: DataFrame, doomed: DataFrame) -> tup
     """(nodes, edges, retained ids): a doomed node goes unless a commit still contains it; its edges go with it."""
     held = edges.where("kind = 'CONTAINS_STATE_OF'").select(F.col("dst").alias("id")).distinct()
     doomed = doomed.select("id").join(nodes.select("id"), "id", "left_semi").distinct()
-    kept, gone = doomed.join(held, "id", "left_semi"), doomed.join(held, "id", "left_anti")
+    kept, gone = doomed.join(held, "id", "left_semi"), stored(doomed.join(held, "id", "left_anti"), "guarded-gone")
+    gone = small(gone, gone.count())
     left = edges.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti").select(*edges.columns)
     return nodes.join(gone, "id", "left_anti"), left, kept
 

@@ -477,9 +477,9 @@ def a4_merge_links(spark, sf):
 @query("""SELECT c.branch, c.kind, count(*) AS n FROM (SELECT CASE WHEN n.id IN (SELECT dst FROM holds) THEN 'kept' ELSE 'gone' END AS branch, n.kind FROM nodes n WHERE n.kind = 'FUNCTION'
 UNION ALL SELECT 'edge', e.kind FROM edges e WHERE NOT (e.src IN (SELECT id FROM parts WHERE id NOT IN (SELECT dst FROM holds)) OR e.dst IN (SELECT id FROM parts WHERE id NOT IN (SELECT dst FROM holds)))) c GROUP BY c.branch, c.kind""")
 def k5_guarded_delete(spark, sf):
-    nodes, edges = bridge.graph(spark, sf)
-    doomed = nodes.where("kind = 'FUNCTION'")
-    left, at, kept = snapshot.guarded_delete(nodes, stored(edges), doomed)
+    # Keys stand for ids: only functions are doomed, and only kinds are counted.
+    doomed = bridge.view(spark, sf, "function_keys")
+    left, at, kept = snapshot.guarded_delete(doomed, stored(bridge.view(spark, sf, "edge_keys")), doomed)
     gone = doomed.join(left.select("id"), "id", "left_anti")
     one = lambda df, what: df.select(F.lit(what).alias("branch"), "kind")
     return one(doomed.join(kept, "id", "left_semi"), "kept").union(one(gone, "gone")).union(one(at, "edge")).groupBy("branch", "kind").agg(F.count(F.lit(1)).alias("n"))
