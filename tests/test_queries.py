@@ -89,3 +89,34 @@ def test_betweenness_of_the_whole_graph(spark, monkeypatch):
                 want[v] = want.get(v, 0.0) + delta[v]
     got = {x.id: x.score for x in queries.n7_betweenness(spark, SF).collect()}
     assert got == pytest.approx(want, abs=1e-5)
+
+
+def test_case_files_are_dealt_out_and_walked_once(spark, monkeypatch):
+    from graphloom import case_queries
+    from graphloom.extract import walker
+
+    walks, walk = [], walker.analyze
+    monkeypatch.setattr(walker, "analyze", lambda files, *a: walks.append(files.rdd.getNumPartitions()) or walk(files, *a))
+    monkeypatch.setattr(case_queries, "TASK_FILES", 50, raising=False)
+    sf = "/root/testdata/sf0.001"
+    parts = spark.read.parquet(f"{sf}/part.parquet").count()
+    for name, n in (("x1_symbols", 10), ("x2_call_targets", 3)):
+        assert queries.QUERIES[name](spark, sf).count() == n * parts
+        assert walks == [-(-parts // 50)], name
+        walks.clear()
+
+
+def test_facts_of_many_files_share_a_batch():
+    import pyarrow as pa
+
+    from graphloom.extract import walker
+
+    class Files:  # stands for a table: what a task does with its batches
+        select = lambda self, *_: self
+
+        def mapInArrow(self, run, schema):
+            rows = [{"repo_id": "r", "branch": "b", "path": f"{i}.py", "language": "python", "tier": 1, "content": "def f():\n    g()\n"} for i in range(300)]
+            return list(run(iter([pa.RecordBatch.from_pylist(rows)])))
+
+    got = walker.analyze(Files())
+    assert len(got) == 1 and got[0].num_rows == 900
