@@ -120,3 +120,20 @@ def test_facts_of_many_files_share_a_batch():
 
     got = walker.analyze(Files())
     assert len(got) == 1 and got[0].num_rows == 900
+
+
+def test_betweenness_in_arrays_agrees_with_the_joins(spark, monkeypatch):
+    from graphloom.operators import analytics
+
+    links = [("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("d", "e"), ("e", "a"), ("e", "e"), ("x", "d")]
+    edges = spark.createDataFrame([("DEPENDS_ON", *x) for x in links], "kind string, src string, dst string")
+    some = spark.createDataFrame([("a",), ("x",), ("alone",)], "id string")
+    monkeypatch.setattr(analytics, "BLOCK_CELLS", 16)
+    walked, walk = [], analytics._betweenness_in_arrays
+    monkeypatch.setattr(analytics, "_betweenness_in_arrays", lambda *x: walked.append(1) or walk(*x))
+    for args in ((None, None), (some, 2)):
+        near = {x.id: x.score for x in analytics.betweenness(edges, *args).collect()}
+        with monkeypatch.context() as m:
+            m.setattr(analytics, "SMALL_EDGES", 0)
+            assert near == pytest.approx({x.id: x.score for x in analytics.betweenness(edges, *args).collect()})
+    assert walked == [1, 1]
