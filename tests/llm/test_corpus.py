@@ -520,3 +520,12 @@ def test_ngram_blocks_stay_small():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert got == {"a": [0], "b": [n - 1]} and peak < 100 << 20, peak
+
+
+def test_line_pairs_are_counted_in_all_documents(spark, monkeypatch):
+    from graphloom.llm import line_dedup
+
+    monkeypatch.setattr(line_dedup, "SAMPLE_DOCS", 4, raising=False)  # the sample that was
+    docs = spark.createDataFrame([(i, "one two three") for i in range(40)], "id long, text string").repartition(3)
+    got = line_dedup.pair_counts(docs)
+    assert sorted(got[got > 0].tolist()) == [40, 40]
