@@ -529,3 +529,37 @@ def test_line_pairs_are_counted_in_all_documents(spark, monkeypatch):
     docs = spark.createDataFrame([(i, "one two three") for i in range(40)], "id long, text string").repartition(3)
     got = line_dedup.pair_counts(docs)
     assert sorted(got[got > 0].tolist()) == [40, 40]
+
+
+def test_line_keys_are_packed():
+    """Keys of lines take 14 bytes each in few rows, where each was a row of two longs."""
+    import pyarrow as pa
+
+    from graphloom.llm import line_dedup
+
+    r = random.Random(5)
+    texts = ["\n".join(" ".join("".join(r.choice("abcdefgh") for _ in range(4)) for _ in range(30)) for _ in range(20)) for _ in range(10)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10), pa.int64()), pa.array(texts)], names=["id", "text"])
+    often = type("often", (), {"value": np.zeros((2, line_dedup.BUCKETS), np.float32)})
+    rows = [x for b in line_dedup._keyed(often, line_dedup.RANGES)(iter([batch])) for x in b.to_pylist()]
+    keys = sum(len(x["k"]) for x in rows) // 4
+    assert keys >= 200 * 15 and len(rows) <= line_dedup.RANGES
+    assert sum(len(v) for x in rows for v in x.values() if isinstance(v, bytes)) == 14 * keys
+
+
+def test_long_lines_of_a_block_are_told_apart_by_counts(monkeypatch):
+    """Parities say nothing of lines of 400 words; counts leave the two that are near, and no other pair is compared."""
+    import pyarrow as pa
+
+    from graphloom.llm import line_dedup
+
+    rng = np.random.default_rng(3)
+    w = [rng.integers(1, 1 << 63, 400) for _ in range(40)]
+    w[-1] = np.append(w[0][:-9], w[1][:9])
+    bounds, words = 400 * np.arange(41), np.concatenate(w).view(np.uint64)
+    p0, p1 = line_dedup.parities(words, bounds, np.arange(40)).view(np.int64)
+    table = pa.table({"h": pa.array(range(40), pa.int64()), "comp": pa.array(range(40), pa.int64()), "n": pa.array([400] * 40, pa.int32()), "p0": p0, "p1": p1, "w": pa.array([x.tolist() for x in w], pa.list_(pa.int64()))})
+    calls, was = [], line_dedup.similar
+    monkeypatch.setattr(line_dedup, "similar", lambda a, b: calls.append(1) or was(a, b))
+    got = line_dedup._block_links(table).to_pydict()
+    assert sorted(got["a"] + got["b"]) == [0, 39] and len(calls) < 4
