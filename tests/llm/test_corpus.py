@@ -563,3 +563,61 @@ def test_long_lines_of_a_block_are_told_apart_by_counts(monkeypatch):
     monkeypatch.setattr(line_dedup, "similar", lambda a, b: calls.append(1) or was(a, b))
     got = line_dedup._block_links(table).to_pydict()
     assert sorted(got["a"] + got["b"]) == [0, 39] and len(calls) < 4
+
+
+def test_many_distances_at_once():
+    """Bounded edit distances of many pairs against the distance of each pair."""
+    from graphloom.llm.editdist import all_within, distance
+
+    r = random.Random(8)
+    seqs = []
+    for _ in range(60):
+        w = [r.randrange(r.choice((2, 5, 500))) for _ in range(r.choice((0, 1, 2, 5, 9, 17, 40, 70)))]
+        seqs += [w, *(_edited_numbers(r, list(w)) for _ in range(3))]
+    bounds = np.cumsum([0, *map(len, seqs)])
+    words = np.array([x for s in seqs for x in s], np.uint64)
+    x = np.array([r.randrange(len(seqs)) for _ in range(4000)])
+    y = np.where(np.arange(4000) % 2, x // 4 * 4 + np.array([r.randrange(4) for _ in x]), np.array([r.randrange(len(seqs)) for _ in x]))
+    k = np.array([r.choice((max(len(seqs[i]), len(seqs[j])) // 4, r.randrange(5))) for i, j in zip(x, y)])
+    want = [distance(seqs[i], seqs[j]) <= m for i, j, m in zip(x, y, k)]
+    assert all_within(words, bounds, x, y, k).tolist() == want and 400 < sum(want) < 3600
+
+
+def _edited_numbers(r, w):
+    for _ in range(r.randrange(len(w) // 3 + 2)):
+        kind, at = r.randrange(3), r.randrange(len(w) + 1)
+        w[at : at + (kind > 0)] = [r.randrange(500)] if kind < 2 else []
+    return w
+
+
+def test_candidates_are_compared_many_at_once(monkeypatch):
+    """Pairs of lines of up to 512 words never go one by one; the answers are those of ``similar``."""
+    import pyarrow as pa
+
+    from graphloom.llm import line_dedup
+
+    r = random.Random(9)
+    base = [[r.randrange(1 << 62) for _ in range(n)] for n in (3, 4, 8, 20, 55, 130, 400) for _ in range(8)]
+    pairs = [(w, _edited_numbers(r, list(w)) if i % 2 else r.choice(base)) for i, w in enumerate(base * 3)]
+    want, was = [line_dedup.similar(x, y) for x, y in pairs], line_dedup.similar
+    calls = []
+    monkeypatch.setattr(line_dedup, "similar", lambda a, b: calls.append(1) or was(a, b))
+    table = pa.table({"a": pa.array(range(len(pairs)), pa.int64()), "b": pa.array(range(len(pairs)), pa.int64()), "wa": pa.array([x for x, _ in pairs], pa.list_(pa.int64())), "wb": pa.array([y for _, y in pairs], pa.list_(pa.int64()))})
+    got = {x for b in line_dedup._checked(iter(table.to_batches(max_chunksize=50))) for x in b.column("a").to_pylist()}
+    assert got == {i for i, x in enumerate(want) if x} and 20 < len(got) and not calls
+
+
+def test_words_are_fetched_only_for_lines_that_may_be_near():
+    """Of a large group without near lines none needs its words; of one with two near lines just these."""
+    import pyarrow as pa
+
+    from graphloom.llm import line_dedup
+
+    rng = np.random.default_rng(4)
+    w = [rng.integers(1, 1 << 63, 30) for _ in range(200)]
+    w[150] = np.append(w[7][:-2], w[8][:3])
+    bounds, words = np.concatenate([[0], np.cumsum([len(x) for x in w])]), np.concatenate(w).view(np.uint64)
+    p0, p1 = line_dedup.parities(words, bounds, np.arange(200)).view(np.int64)
+    table = pa.table({"key": pa.array([5] * 200, pa.int64()), "h": pa.array(range(200), pa.int64()), "n": pa.array(np.diff(bounds).astype(np.int32)), "p0": p0, "p1": p1})
+    assert sorted(line_dedup._hopeful(table).column("h").to_pylist()) == [7, 150]
+    assert line_dedup._hopeful(table.slice(0, 150)).num_rows == 0
