@@ -621,3 +621,21 @@ def test_words_are_fetched_only_for_lines_that_may_be_near():
     table = pa.table({"key": pa.array([5] * 200, pa.int64()), "h": pa.array(range(200), pa.int64()), "n": pa.array(np.diff(bounds).astype(np.int32)), "p0": p0, "p1": p1})
     assert sorted(line_dedup._hopeful(table).column("h").to_pylist()) == [7, 150]
     assert line_dedup._hopeful(table.slice(0, 150)).num_rows == 0
+
+
+def test_parities_count_all_bits():
+    """Of near lines in a large group none is left out where parities differ in the sign bit."""
+    import pyarrow as pa
+
+    from graphloom.llm import line_dedup
+
+    rng = np.random.default_rng(6)
+    w = [rng.integers(1, 1 << 63, 12) for _ in range(80)]
+    w += [np.append(x[:-1], rng.integers(1, 1 << 63, 1)) for x in w]
+    bounds, words = 12 * np.arange(161), np.concatenate(w).view(np.uint64)
+    p0, p1 = line_dedup.parities(words, bounds, np.arange(160)).view(np.int64)
+    assert ((p0[:80] ^ p0[80:]) < 0).any()
+    table = pa.table({"key": pa.array([5] * 160, pa.int64()), "h": pa.array(range(160), pa.int64()), "comp": pa.array(range(160), pa.int64()), "n": pa.array([12] * 160, pa.int32()), "p0": p0, "p1": p1, "w": pa.array([x.tolist() for x in w], pa.list_(pa.int64()))})
+    assert sorted(line_dedup._hopeful(table).column("h").to_pylist()) == list(range(160))
+    got = line_dedup._block_links(table).to_pydict()
+    assert sorted(tuple(sorted(x)) for x in zip(got["a"], got["b"])) == [(i, i + 80) for i in range(80)]
