@@ -137,3 +137,23 @@ def test_betweenness_in_arrays_agrees_with_the_joins(spark, monkeypatch):
             m.setattr(analytics, "SMALL_EDGES", 0)
             assert near == pytest.approx({x.id: x.score for x in analytics.betweenness(edges, *args).collect()})
     assert walked == [1, 1]
+
+
+def test_betweenness_walks_edges_into_ends_once_a_source(monkeypatch):
+    """A path whose nodes all point at the same ends: past the first step no edge into an end is looked at again."""
+    import numpy as np
+
+    from graphloom.operators import analytics
+
+    n, ends = 60, 50
+    src = np.concatenate([np.arange(n - 1), np.repeat(np.arange(n), ends)]).astype(np.int32)
+    dst = np.concatenate([np.arange(1, n), np.tile(np.arange(n, n + ends), n)]).astype(np.int32)
+    graph, total, walked, ranges = analytics._graph_arrays(src, dst, n + ends), n + ends, [], analytics._ranges
+    monkeypatch.setattr(analytics, "_ranges", lambda a, b: walked.append(int((b - a).sum())) or ranges(a, b))
+    score, met = np.zeros(total), np.zeros(total, dtype=bool)
+    depth, place = np.full(7 * total, -1, dtype=np.int32), np.zeros(7 * total, dtype=np.int32)
+    for i in range(0, total, 7):
+        analytics._brandes(np.arange(i, min(i + 7, total)), total, graph, None, depth, place, score, met)
+    assert score.tolist() == [*(j * (n - 1 - j) for j in range(n)), *[0.0] * ends]
+    assert met.tolist() == [False, *[True] * (total - 1)] and (depth == -1).all()
+    assert sum(walked) <= total * 2 * (n + ends)  # of 60 * 60 / 2 * 50 edges into ends on all paths
